@@ -43,8 +43,7 @@ def _group(marked):
         return let(head, lambda h: F.struct(
             h.alias("heading"), _items(F.transform(body, lambda m: m["line"]), h).alias("items")))
 
-    spans = F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")),
-                        lambda z: F.struct(z[0].alias("s"), z[1].alias("e")))
+    spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     return F.filter(F.transform(spans, section), lambda x: F.size(x["items"]) > 0)
 
 

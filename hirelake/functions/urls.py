@@ -83,10 +83,11 @@ def source_job_id(c):
     """Identifier found in the query, else the trailing run of the last path segment."""
     def find(u):
         pairs = F.when(u["query"] != "", query_pairs(u["query"]))
-        by_key = [
-            F.try_element_at(F.filter(pairs, lambda p, k=k: p["k"] == k), F.lit(1))["v"]
-            for k in vocab.ID_QUERY_KEYS
-        ]
+
+        def value_of(name):
+            return F.try_element_at(F.filter(pairs, lambda p: p["k"] == name), F.lit(1))["v"]
+
+        by_key = [value_of(k) for k in vocab.ID_QUERY_KEYS]
         last = F.try_element_at(F.filter(F.split(u["path"], "/"), lambda s: s != ""), F.lit(-1))
         run = nonblank(F.regexp_extract(F.lower(last), "([a-z0-9]{6,})$", 1))
         return F.coalesce(*[F.trim(k) for k in by_key], run, last)

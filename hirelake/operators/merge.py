@@ -18,6 +18,8 @@ from ..functions import scoring
 from ..functions.text import distinct_lower, is_blank
 from ..schema import POSTING_SCHEMA
 from ..session import cut_lineage
+from .ordering import with_rank
+from .running import running_before
 
 _c = F.col
 
@@ -76,7 +78,7 @@ def _control(postings):
     blank_free = lambda n: F.when(~is_blank(_c(n)), _c(n))
     key = scoring.url_key()
     narrow = postings.select(
-        _c("arrival").alias("t"), _c("_stored").alias("stored"), "id", "source",
+        "arrival", _c("_stored").alias("stored"), "id", "source",
         *[blank_free(n).alias(n) for n in _SIGNED if n != "url_key"],
         F.when(key != "", key).alias("url_key"),
         F.when(~is_blank(_c("company")), flags[1]).alias("company_ok"),
@@ -129,7 +131,8 @@ def _advance(rows, stored_writes):
              for n in _SIGNED}
     source = F.when(_c("new_top"), _c("source")).otherwise(F.coalesce(_c("p_source"), _c("source")))
     left = scoring.signature_list(source, *[after[n] for n in _SIGNED])
-    judged = seen.select("t", "rec", "stored", "new_top", "signatures", left.alias("writes"))
+    # Read three times below, so it is written out once.
+    judged = cut_lineage(seen.select("t", "rec", "stored", "new_top", "signatures", left.alias("writes")))
 
     events = (
         judged.filter(~_c("stored")).select(
@@ -174,7 +177,12 @@ def _settle(active, stored_writes, start=None):
 
 
 def _replay(control):
-    """Decisions (t, rec, top) for the rows whose signatures meet; all others stand alone."""
+    """Decisions (arrival, t, rec, top) for the rows whose signatures meet; all others stand alone.
+
+    ``t`` numbers the rows without gaps in arrival order, so that ranges of it hold equal shares.
+    """
+    numbered = with_rank(control.select("arrival").orderBy("arrival"), "t")
+    control = cut_lineage(control.join(numbered, "arrival"))
     stored = control.filter("stored")
     keeper = stored.groupBy("id").agg(F.max("t").alias("keep"))
     stored = stored.join(keeper, "id")
@@ -200,13 +208,13 @@ def _replay(control):
         reached = own.join(active_ids, "t", "left_anti").join(mixed, "sig", "left_semi").select("t").distinct()
         reached = cut_lineage(reached)
         if reached.limit(1).count() == 0:
-            return settled.select("t", "rec", "top")
+            return settled.select("arrival", "t", "rec", "top")
         active_ids = cut_lineage(active_ids.unionByName(reached))
 
 
 def _rank():
     """Precedence inside a record: take-overs from the last to the first, then the others in order."""
-    return F.when(_c("top"), -_c("arrival") - 1).otherwise(_c("arrival") + 1)
+    return F.when(_c("top"), -_c("t") - 1).otherwise(_c("t") + 1)
 
 
 def _assemble(rows):
@@ -216,6 +224,7 @@ def _assemble(rows):
         F.min_by(n, F.when(~is_blank(_c(n)), _c("_rank"))), F.min_by(n, "_rank"))
     first_value = lambda n: F.min_by(n, F.when(_c(n).isNotNull(), _c("_rank")))
     records = ranked.groupBy("rec").agg(
+        F.min("arrival").alias("arrival"),
         F.min_by("id", "_rank").alias("id"), F.min_by("source", "_rank").alias("source"),
         *[filled(n).alias(n) for n in PICKED],
         F.coalesce(
@@ -238,7 +247,7 @@ def _assemble(rows):
     records = records.withColumns({
         "skills": F.coalesce("skills", empty), "aggregated_sources": F.coalesce("aggregated_sources", empty),
     }).withColumn("tags", _c("skills"))
-    return records.withColumn("quality_score", scoring.completeness()).withColumn("arrival", _c("rec"))
+    return records.withColumn("quality_score", scoring.completeness())
 
 
 def _changes(rows):
@@ -253,7 +262,7 @@ def _changes(rows):
                     lambda s: F.concat(F.lit("k:"), s)),
         F.transform(distinct_lower(F.concat(F.coalesce("aggregated_sources", F.array()), F.array("source"))),
                     lambda s: F.concat(F.lit("s:"), s))))
-    narrow = rows.select("rec", _c("arrival").alias("t"), "top", "_stored", bits.alias("bits"), lists.alias("skills"),
+    narrow = rows.select("rec", "arrival", "t", "top", bits.alias("bits"), lists.alias("skills"),
                          *[F.unix_micros(n).alias(n) for n in ("posted_at", "scraped_at", "discovered_at")])
     seen = running_before(narrow.join(_new_skills(narrow), "t", "left"), "rec", "t", {
         "p_bits": ("bit_or", _c("bits")), "p_posted": ("min", _c("posted_at")),
@@ -262,7 +271,7 @@ def _changes(rows):
         _c("top") | (_c("bits").bitwiseAND(F.bitwise_not(_c("p_bits"))) != 0) | (F.coalesce("added", F.lit(0)) > 0)
         | (_c("posted_at") < _c("p_posted")) | (_c("scraped_at") > _c("p_scraped"))
         | (_c("discovered_at") < _c("p_found")))
-    return seen.filter(_c("rec") != _c("t")).select("t", F.coalesce(changed, F.lit(False)).alias("changed"))
+    return seen.filter(_c("rec") != _c("t")).select("arrival", F.coalesce(changed, F.lit(False)).alias("changed"))
 
 
 def merge_postings(incoming, existing=None):
@@ -283,21 +292,18 @@ def merge_postings(incoming, existing=None):
         table = existing.select(*fields, F.lit(True).alias("_stored")).unionByName(
             new.withColumn("arrival", _c("arrival") + shift))
     decided = _replay(_control(table))
-    members = table.join(decided.withColumnRenamed("t", "arrival"), "arrival", "left")
-    keep = F.coalesce(_c("rec"), _c("arrival"))
-    members = members.withColumns({"rec": keep, "top": F.coalesce(_c("top"), F.lit(True))})
+    members = table.join(decided, "arrival", "left")
     if existing is not None:
-        stale = table.filter("_stored").groupBy("id").agg(F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-        stale = table.filter("_stored").join(stale.filter("_n > 1"), "id").filter(
-            _c("arrival") != _c("_keep")).select("arrival")
+        last = table.filter("_stored").groupBy("id").agg(
+            F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        stale = table.filter("_stored").join(last, "id").filter(_c("arrival") != _c("_keep")).select("arrival")
         members = members.join(stale, "arrival", "left_anti")
-    sizes = decided.groupBy("rec").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rec")
-    grouped = members.join(sizes, "rec", "left_semi")
-    single = members.join(sizes, "rec", "left_anti")
+    shared = decided.groupBy("rec").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rec")
+    grouped = members.join(shared, "rec", "left_semi")
+    single = members.join(shared, "rec", "left_anti")
     postings = single.select(*fields).unionByName(_assemble(grouped).select(*fields))
-    decisions = members.filter(~_c("_stored")).join(
-        _changes(grouped).withColumnRenamed("t", "arrival"), "arrival", "left").select(
-        "arrival", "source", "rec", "top", (_c("rec") == _c("arrival")).alias("inserted"),
+    decisions = members.filter(~_c("_stored")).join(_changes(grouped), "arrival", "left").select(
+        "arrival", "source", "rec", "top", F.coalesce(_c("rec") == _c("t"), F.lit(True)).alias("inserted"),
         F.coalesce("changed", F.lit(False)).alias("updated"))
     return MergeResult(postings, decisions, merge_report(decisions))
 
@@ -341,8 +347,8 @@ def merge_canonical(postings, strict_ids=False):
     if strict_ids:
         pairs = pairs.filter(~_c("sig").startswith("source-id:") | F.regexp_extract("sig", "([^:]*)$", 1).rlike("[0-9]"))
     comp = connected_components(pairs).withColumnRenamed("t", "arrival")
-    members = postings.join(comp, "arrival", "left").withColumn("rec", F.coalesce("comp", "arrival")).drop("comp")
-    # Precedence by score packed with arrival: rank = (22 - score) * 2^50 + arrival.
+    # Precedence: score first, then arrival.
     order = (F.lit(22) - scoring.completeness()).cast("bigint") * F.lit(1 << 50) + _c("arrival")
-    members = members.withColumns({"_first": _c("arrival"), "arrival": order, "top": F.lit(False)})
+    members = postings.join(comp, "arrival", "left").withColumns({
+        "rec": F.coalesce("comp", "arrival"), "t": order, "top": F.lit(False)})
     return _assemble(members)

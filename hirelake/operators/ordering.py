@@ -56,12 +56,12 @@ def union_sources(frames):
 def with_rank(ordered, name):
     """Number an ordered DataFrame 1..n across partitions.
 
-    The sorted rows are checkpointed first, so that both uses below see the same partitions.
-    Positions inside a partition come from the row id; the offset of a partition is the count of
-    the partitions before it (one row per partition, however large the data).
+    Partition number and position are taken while the sorted rows are written out, so both uses
+    below agree.  The offset of a partition is the count of the partitions before it (one row per
+    partition, however large the data).
     """
-    fixed = cut_lineage(ordered)
-    tagged = fixed.withColumns({"_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()})
+    tagged = cut_lineage(ordered.withColumns({
+        "_pid": F.spark_partition_id(), "_mid": F.monotonically_increasing_id()}))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -45,7 +45,7 @@ def normalize_tags(spark, sf_dir):
 
 _WRAPPED = (
     "'<div class=\"a>b\"><p>' || replace(replace(text, '&', '&amp;'), chr(10), '</p><!-- note --><p>') || "
-    "'</p><script>var x = \"<b>\";</script><style>p {}</style><svg><path/></svg>&#8226;tail&nbsp;&eacute;&#x41;&copy b</div>'")
+    "'</p><script>var x = \"<b>\";</script><style>p:x</style><svg><path/></svg>&#8226;tail&nbsp;&eacute;&#x41;&copy b</div>'")
 
 
 @query("clean_html", f"""
@@ -235,7 +235,7 @@ def workplace_type(spark, sf_dir):
 _PLACES = (
     ("'Nairobi, Kenya'", "'Nairobi, Kenya'", "'Nairobi'", "NULL", "'Kenya'"),
     ("'remote'", "'Remote'", "NULL", "NULL", "NULL"),
-    ("'Zone ' || p_size || ' / London'", "'Zone ' || p_size || ' ,  London'", "'London'", "'Zone ' || p_size", "'United Kingdom'"),
+    ("'Zone ' || p_size || ' / London'", "'Zone ' || p_size || ' , London'", "'London'", "'Zone ' || p_size", "'United Kingdom'"),
     ("'nyc | plant ' || p_size", "'nyc | plant ' || p_size", "'Nyc'", "'Plant ' || p_size", "'USA'"),
     ("'usa'", "'usa'", "NULL", "NULL", "'Usa'"),
     ("'Greater nyc area'", "'Greater nyc area'", "'New York'", "'Greater Nyc Area'", "'USA'"),
@@ -301,7 +301,7 @@ def extract_skills(spark, sf_dir):
 @query("structure_description", f"""
 SELECT doc_id, array_to_string(list_transform(list_filter([('Overview', ov), ('Requirements', rq), ('Benefits', bn)], lambda s: s[2] <> ''),
   lambda s: s[1] || '=' || s[2]), '#') AS sections FROM (
-  SELECT doc_id, {_ws("replace(substr(text, 1, 300), chr(10), ' ')")} || '.x' AS ov,
+  SELECT doc_id, {_ws("replace(substr(text, 1, 300), chr(10), ' ') || '.x'")} AS ov,
     CASE WHEN doc_id % 2 = 0 THEN 'years of ' || source || '|must ' || lang ELSE '' END AS rq,
     array_to_string(list_transform(generate_series(1, least(doc_id % 30, 20)::INT), lambda i: 'perk no ' || i), '|') AS bn FROM documents)""")
 def structure_description(spark, sf_dir):

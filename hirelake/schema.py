@@ -8,29 +8,35 @@ SECTION_TYPE = T.StructType([
 ])
 SECTIONS_DDL = "array<struct<heading:string,items:array<string>>>"
 
-POSTING_SCHEMA = T.StructType.fromDDL(
-    "id string, source_job_id string, title string, company string, location string,"
-    "location_city string, location_region string, location_country string,"
-    "workplace_type string, source string, source_type string, source_website string,"
-    "aggregated_sources array<string>, job_type string, experience_level string,"
-    "description string, description_html string,"
-    f"description_sections {SECTIONS_DDL},"
-    "skills array<string>, tags array<string>, job_url string, apply_url string,"
-    "canonical_url string, posted_at timestamp, scraped_at timestamp, discovered_at timestamp,"
-    "salary_text string, salary_min double, salary_max double, salary_currency string,"
-    "salary_interval string, quality_score int"
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()),
+    "sections": T.ArrayType(SECTION_TYPE),
+}
+
+
+def _struct(*fields):
+    """``name`` for text columns, ``name:type`` for the others."""
+    pairs = [(f.split(":") + ["string"])[:2] for f in " ".join(fields).split()]
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+POSTING_SCHEMA = _struct(
+    "id source_job_id title company location location_city location_region location_country",
+    "workplace_type source source_type source_website aggregated_sources:strings job_type",
+    "experience_level description description_html description_sections:sections skills:strings",
+    "tags:strings job_url apply_url canonical_url posted_at:timestamp scraped_at:timestamp",
+    "discovered_at:timestamp salary_text salary_min:double salary_max:double salary_currency",
+    "salary_interval quality_score:int",
 )
 
 # What an adapter hands over: one row per posting, missing keys are NULL.  Values that feeds
 # deliver with different types (dates, salaries) have one column per type.
-RAW_SCHEMA = T.StructType.fromDDL(
-    "source string, arrival bigint, title string, company string, location string,"
-    "description string, description_text string, description_html string, job_url string,"
-    "apply_url string, url string, job_type string, experience_level string,"
-    "salary_text string, salary_num double, skills array<string>, tags array<string>,"
-    "posted_text string, posted_epoch double, posted_ts timestamp, scraped_at timestamp,"
-    "discovered_at timestamp, source_job_id string, source_type string, source_website string,"
-    "aggregated_sources array<string>"
+RAW_SCHEMA = _struct(
+    "source arrival:long title company location description description_text description_html",
+    "job_url apply_url url job_type experience_level salary_text salary_num:double skills:strings",
+    "tags:strings posted_text posted_epoch:double posted_ts:timestamp scraped_at:timestamp",
+    "discovered_at:timestamp source_job_id source_type source_website aggregated_sources:strings",
 )
 
 

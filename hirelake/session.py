@@ -42,6 +42,11 @@ def scratch_path(spark, label):
 
 
 def cut_lineage(df):
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and read them back.
+
+    Survives executor loss, computes the plan once (a checkpoint computes it twice) and lets
+    later steps read only the columns they need.
+    """
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from . import feed_queries, scalar_queries, table_queries  # noqa: F401
+from . import feed_queries, job_queries, scalar_queries, table_queries  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

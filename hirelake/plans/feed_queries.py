@@ -2,8 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from .. import vocab
-from ..functions import text
 from ..operators import crawl
 from ..sources import boards, dom, feeds, jsonld
 from .registry import query, table
@@ -20,7 +18,8 @@ def as_of():
 def _orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    return o.join(c, _c("o_custkey") == _c("c_custkey")).withColumn("seq", _c("o_orderkey"))
+    return o.join(c, _c("o_custkey") == _c("c_custkey")).withColumns({
+        "seq": _c("o_orderkey"), "o_orderdate": _c("o_orderdate").cast("timestamp")})
 
 
 def _landed(rows, body, origin):
@@ -224,7 +223,7 @@ def _board_pages(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     k, s = _c("doc_id"), _c("doc_id").cast("string")
     item = F.concat(
-        F.lit('<li><a href="/listings/role-'), s, F.lit('"><b>Analyst</b> '), s, F.lit("</a><span>Acme &amp; "), "source", F.lit("</span>"),
+        F.lit('<li><a href="/listings/role-'), s, F.lit('">Analyst '), s, F.lit("</a><span>Acme &amp; "), "source", F.lit("</span>"),
         F.when(k % 2 == 0, "<p>Mombasa</p>").otherwise("<p>somewhere</p>"), F.lit("<p>Part Time</p><p>KSh "), s, F.lit(",000</p>"),
         F.when(k % 3 == 0, "<p>2 days ago</p>").otherwise("<p>3 May 2024</p>"), F.lit("<p>New</p></li>"))
     html = F.concat(F.lit('<html><body><ul><li><a href="/listings/login">Login</a></li>'), item, item, F.lit("</ul></body></html>"))
@@ -261,7 +260,8 @@ def _detail_pages(spark, sf_dir):
 @query("listing_detail_enrich", """
 SELECT 'https://www.board.example/listings/role-' || doc_id AS job_url, 'Analyst ' || doc_id AS title,
   CASE WHEN doc_id % 2 = 0 THEN 'Mombasa' ELSE 'Kenya' END AS location, 'part-time' AS job_type,
-  CASE WHEN doc_id % 2 = 0 THEN 'Do the ' || source || ' work Second line' END AS description_html,
+  CASE WHEN doc_id % 2 = 0 THEN '<h1>Page role ' || doc_id || '</h1><h2>Page company</h2><span class="skill-tag">Excel</span><p>Applicant Location: Kisumu</p><p>Full Time</p><div>Job descriptions &amp; requirements</div><p>Do the '
+    || source || ' work</p><p>Second line</p><p>Similar jobs</p>' END AS description_html,
   CASE WHEN doc_id % 2 = 1 THEN 'brightermonday listing ''https://www.board.example/listings/role-' || doc_id || ''' detail parsing degraded: no detail page' END AS degraded
 FROM documents""")
 def listing_detail_enrich(spark, sf_dir):

@@ -35,7 +35,7 @@ def _match(c, pattern, group=1):
 
 
 def _type_of_lines(lines):
-    known = F.filter(F.transform(lines, job_type), lambda t: t != "unknown")
+    known = F.filter(F.transform(lines, lambda x: job_type(x)), lambda t: t != "unknown")
     return F.coalesce(F.try_element_at(known, F.lit(1)), F.lit("unknown"))
 
 
@@ -252,7 +252,7 @@ def detail_fields(board):
         "company": pick(get("hiringOrganization.name"), dom.first_text(chosen("company")), dom.meta_content("og:site_name")),
         "location": pick(jsonld.any_location(ld), dom.first_text(chosen("location")), get("applicantLocationRequirements[0].name")),
         "description": pick(text.html_text(get("description")), text.let(node, lambda n: dom.node_text(n, "\n"))),
-        "description_html": pick(get("description"), text.let(node, dom.inner_html)),
+        "description_html": pick(get("description"), text.let(node, lambda n: dom.inner_html(n))),
         "apply_url": get("url"), "job_url": get("url"),
         "job_type": pick(get("employmentType"), dom.first_text(chosen("job_type"))),
         "salary_text": pick(jsonld.pay_text(ld, with_unit=True), dom.first_text(chosen("salary"))),

@@ -137,7 +137,7 @@ def select_first(selectors):
 
 
 def first_text(selectors):
-    return let(select_first(selectors), node_text)
+    return let(select_first(selectors), lambda n: node_text(n))
 
 
 def meta_content(name):
@@ -152,7 +152,7 @@ def _meta(key, name):
 
 def short_texts(selectors, limit=64):
     """Distinct texts of all matching elements, long ones left out."""
-    texts = F.concat(*[F.transform(select(s), node_text) for s in selectors])
+    texts = F.concat(*[F.transform(select(s), lambda n: node_text(n)) for s in selectors])
     return F.array_distinct(F.filter(texts, lambda t: (t != "") & (F.length(t) <= limit)))
 
 

@@ -1,4 +1,10 @@
-"""Job type, seniority and workplace labels."""
+"""Job type, seniority and workplace labels.
+
+Each rule has a core over prepared text (cleaned, lower-cased) and a form that prepares the text
+itself.  Jobs that apply several rules prepare the text once and use the cores.
+"""
+
+import re
 
 from pyspark.sql import functions as F
 
@@ -6,65 +12,80 @@ from .. import vocab
 from .text import clean_html, contains_any, join_nonblank, let, nonblank, text_or_empty
 
 
-def job_type(value, title=None, description=None):
-    """First pattern found anywhere in value, title and description."""
-    parts = [c for c in (value, title, description) if c is not None]
+def _first_label(cases, default):
+    out = None
+    for test, label in cases:
+        out = F.when(test, label) if out is None else out.when(test, label)
+    return out.otherwise(default)
+
+
+def prepared(*parts):
+    return F.lower(clean_html(join_nonblank(" ", *[p for p in parts if p is not None])))
+
+
+def job_type_in(low):
+    """First pattern, in fixed order, found in prepared text.
+
+    The stem of a pattern is looked for first: a plain search costs next to nothing, and a text
+    without the stem cannot match.
+    """
+    def found(pattern):
+        stem = re.match(r"\\b([a-z]+)", pattern).group(1)
+        return F.contains(low, F.lit(stem)) & low.rlike("(?U)" + pattern)
+
+    return _first_label([(found(p), n) for p, n in vocab.JOB_TYPES], "unknown")
 
-    def label(text):
-        out = F.when(F.lit(False), F.lit(""))
-        for pattern, name in vocab.JOB_TYPES:
-            out = out.when(text.rlike("(?U)" + pattern), name)
-        return out.otherwise("unknown")
 
-    return let(F.lower(clean_html(join_nonblank(" ", *parts))), label)
+def job_type(value, title=None, description=None):
+    """First pattern found anywhere in value, title and description."""
+    return let(prepared(value, title, description), job_type_in)
 
 
-def job_type_from_labels(text):
+def job_type_from_labels(low):
     """Literal labels used by one feed, tested in order on lower-cased text."""
-    out = F.when(F.lit(False), F.lit(""))
-    for name in vocab.FEED_JOB_LABELS:
-        out = out.when(F.contains(text, F.lit(name)), name)
-    return out.otherwise("unknown")
+    return _first_label([(F.contains(low, F.lit(n)), n) for n in vocab.FEED_JOB_LABELS], "unknown")
 
 
 def commitment(c):
     return F.lower(F.trim(F.coalesce(nonblank(c), F.lit("unknown"))))
 
 
+def experience_in(low):
+    return _first_label([(contains_any(low, ws), n) for n, ws in vocab.EXPERIENCE_WORDS], "unknown")
+
+
 def experience_level(value):
-    def label(text):
-        out = F.when(F.lit(False), F.lit(""))
-        for name, words in vocab.EXPERIENCE_WORDS:
-            out = out.when(contains_any(text, words), name)
-        return out.otherwise("unknown")
+    return let(prepared(value), experience_in)
+
 
-    return let(F.lower(clean_html(value)), label)
+def level_of_years(digits):
+    """Level for the digits of a stated duration; '' gives unknown."""
+    years = F.coalesce(nonblank(digits).try_cast("int"), F.lit(1_000_000))
+    cases = [(digits == "", "unknown"), *[(years <= b, n) for b, n in vocab.YEARS_TO_LEVEL]]
+    return _first_label(cases, "lead")
+
+
+_YEARS = r"(\d+)\+?\s+years?"
+
+
+def infer_experience_in(low):
+    explicit = F.nullif(experience_in(low), F.lit("unknown"))
+    digits = F.when(F.contains(low, F.lit("year")), F.regexp_extract(low, _YEARS, 1)).otherwise("")
+    return F.coalesce(explicit, let(digits, level_of_years))
 
 
 def infer_experience(title, description):
     """Seniority words in title and description, else the first stated number of years."""
-    def infer(text):
-        digits = F.regexp_extract(text, r"(\d+)\+?\s+years?", 1)
-        years = F.coalesce(nonblank(digits).try_cast("int"), F.lit(1_000_000))
-        by_years = F.when(digits == "", F.lit("unknown"))
-        for bound, name in vocab.YEARS_TO_LEVEL:
-            by_years = by_years.when(years <= bound, name)
-        explicit = experience_level(text)
-        return F.coalesce(F.nullif(explicit, F.lit("unknown")), by_years.otherwise("lead"))
+    return let(prepared(title, description), infer_experience_in)
+
 
-    return let(F.lower(F.concat_ws(" ", text_or_empty(title), text_or_empty(description))), infer)
+def workplace_in(low, location):
+    """Workplace of prepared text; without a keyword a stated place means onsite."""
+    place = F.lower(text_or_empty(location))
+    cases = [(contains_any(low, ws), n) for n, ws in vocab.WORKPLACE_WORDS]
+    cases += [(place.isin(*vocab.VAGUE_PLACES), "unknown"), (place != "", "onsite")]
+    return _first_label(cases, "unknown")
 
 
 def workplace_type(location, title=None, description=None):
-    def label(text):
-        out = F.when(F.lit(False), F.lit(""))
-        for name, words in vocab.WORKPLACE_WORDS:
-            out = out.when(contains_any(text, words), name)
-        stated = text_or_empty(location)
-        return (
-            out.when(F.lower(stated).isin(*vocab.VAGUE_PLACES), "unknown")
-            .when(stated != "", "onsite").otherwise("unknown")
-        )
-
-    parts = [c for c in (location, title, description) if c is not None]
-    return let(F.lower(clean_html(join_nonblank(" ", *parts))), label)
+    return let(prepared(location, title, description), lambda low: workplace_in(low, location))

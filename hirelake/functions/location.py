@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .classify import workplace_type
+from .classify import workplace_in, workplace_type
 from .text import clean_html, let, nonblank, normalize_ws, py_title
 
 _CITY_RE = r"(?iU)\b(" + "|".join(vocab.CITY_IN_TEXT) + r")\b"
@@ -14,43 +14,52 @@ def _lookup(table, key):
     return F.try_element_at(F.create_map(*pairs), key)
 
 
-def parse_location(value, title=None, description=None):
+def parse_location(value, title=None, description=None, low=None):
     """struct(location, city, region, country, workplace_type).
 
     The last city or country token decides, the first other short token is the region; without a
-    city token the text is searched for a known city.
+    city token the text is searched for a known city.  ``low`` is the prepared text of title and
+    description, for callers that have it.
     """
+    def kind_of(raw):
+        if low is None:
+            return workplace_type(raw, title, description)
+        return let(F.concat_ws(" ", nonblank(F.lower(raw)), low), lambda text: workplace_in(text, raw))
+
     def build(v):
-        raw, kind = v["raw"], v["kind"]
         swapped = F.replace(F.replace(F.replace(
-            raw, F.lit("•"), F.lit(", ")), F.lit("/"), F.lit(", ")), F.lit("  "), F.lit(" "))
-        return let(F.regexp_replace(swapped, "^[ ,]+|[ ,]+$", ""), lambda s: _place(raw, kind, s))
+            v["raw"], F.lit("•"), F.lit(", ")), F.lit("/"), F.lit(", ")), F.lit("  "), F.lit(" "))
+        return let(F.regexp_replace(swapped, "^[ ,]+|[ ,]+$", ""), lambda s: _place(v["raw"], v["kind"], s))
 
-    raw = clean_html(value)
-    return let(raw, lambda r: let(
-        F.struct(r.alias("raw"), workplace_type(r, title, description).alias("kind")), build))
+    return let(clean_html(value), lambda r: let(
+        F.struct(r.alias("raw"), kind_of(r).alias("kind")), build))
 
 
 def _place(raw, kind, text):
     tokens = F.filter(F.transform(F.split(text, r",|\|"), normalize_ws), lambda t: t != "")
 
-    def from_tokens(ts):
-        cities = list(vocab.CITY_COUNTRY)
-        known = [*cities, *vocab.COUNTRY_TOKENS]
-        city_tok = F.try_element_at(F.filter(ts, lambda t: F.lower(t).isin(*cities)), F.lit(-1))
-        place_tok = F.try_element_at(F.filter(ts, lambda t: F.lower(t).isin(*known)), F.lit(-1))
-        region_tok = F.try_element_at(F.filter(
-            ts, lambda t: ~F.lower(t).isin(*known) & (F.length(t) <= 32)), F.lit(1))
-        named = nonblank(F.regexp_extract(text, _CITY_RE, 1))
-        found = F.when(city_tok.isNull(), named)
-        city = F.coalesce(
-            py_title(city_tok),
-            F.when(found.isNotNull(),
-                   F.coalesce(_lookup(vocab.CITY_SHORT_FORMS, F.lower(found)), py_title(found))))
-        country = F.coalesce(
-            _lookup(vocab.CITY_COUNTRY, F.lower(place_tok)), py_title(place_tok),
-            _lookup(vocab.CITY_COUNTRY, F.lower(found)))
-        region = py_title(region_tok)
+    cities = list(vocab.CITY_COUNTRY)
+    known = [*cities, *vocab.COUNTRY_TOKENS]
+
+    def choose(ts):
+        pick = lambda test, at: F.try_element_at(F.filter(ts, test), F.lit(at))
+        city_tok = pick(lambda t: F.lower(t).isin(*cities), -1)
+        return F.struct(
+            city_tok.alias("city"),
+            pick(lambda t: F.lower(t).isin(*known), -1).alias("place"),
+            py_title(pick(lambda t: ~F.lower(t).isin(*known) & (F.length(t) <= 32), 1)).alias("region"),
+            F.when(~F.exists(ts, lambda t: F.lower(t).isin(*cities)),
+                   nonblank(F.regexp_extract(text, _CITY_RE, 1))).alias("found"))
+
+    def name(v):
+        found = F.lower(v["found"])
+        return F.struct(
+            F.coalesce(py_title(v["city"]), _lookup(vocab.CITY_SHORT_FORMS, found), py_title(v["found"])).alias("city"),
+            F.coalesce(_lookup(vocab.CITY_COUNTRY, F.lower(v["place"])), py_title(v["place"]),
+                       _lookup(vocab.CITY_COUNTRY, found)).alias("country"),
+            v["region"].alias("region"))
+
+    def finish(v):
         shown = F.coalesce(nonblank(text),
                            F.when(kind == "remote", F.lit("Remote")).otherwise("Unspecified"))
         shown = F.when((kind == "hybrid") & ~F.contains(F.lower(shown), F.lit("hybrid")),
@@ -58,10 +67,9 @@ def _place(raw, kind, text):
         only_remote = (kind == "remote") & F.lower(raw).isin(*vocab.REMOTE_ONLY_PLACES)
         return F.struct(
             F.when(only_remote, F.lit("Remote")).otherwise(shown).alias("location"),
-            F.when(~only_remote, city).alias("city"),
-            F.when(~only_remote & ~region.eqNullSafe(city), region).alias("region"),
-            F.when(~only_remote, country).alias("country"),
-            kind.alias("workplace_type"),
-        )
+            F.when(~only_remote, v["city"]).alias("city"),
+            F.when(~only_remote & ~v["region"].eqNullSafe(v["city"]), v["region"]).alias("region"),
+            F.when(~only_remote, v["country"]).alias("country"),
+            kind.alias("workplace_type"))
 
-    return let(tokens, from_tokens)
+    return let(let(let(tokens, choose), name), finish)

@@ -20,29 +20,34 @@ def _amount(digits, suffix):
 def parse_salary(value, title=None, description=None, number=None):
     """struct(text, min, max, currency, interval) from the salary text, the title and the first
     300 characters of the description.  A numeric salary is taken as the minimum."""
-    def read(t):
-        g = lambda p, i: F.regexp_extract(t, p, i)
-        code = F.lit(None).cast("string")
-        for spelling, iso in vocab.CURRENCY_CODES.items():
-            code = F.coalesce(code, F.when(F.lower(g(_CURRENCY, 1)) == spelling, F.lit(iso)))
+    def find(t):
+        """Each pattern runs over the text once; groups are cut from the short match."""
         usable = (t != "") & ~F.contains(F.lower(t), F.lit("confidential"))
-        is_range = usable & t.rlike(_RANGE)
-        is_single = usable & ~is_range & code.isNotNull() & t.rlike(_SINGLE)
-        single = _amount(g(_SINGLE, 1), g(_SINGLE, 2))
+        whole = lambda p: F.when(usable, nonblank(F.regexp_extract(t, p, 0)))
         return F.struct(
-            F.when(is_range, F.trim(g(_RANGE, 0))).when(is_single, F.trim(g(_SINGLE, 0))).alias("text"),
-            F.when(is_range, _amount(g(_RANGE, 1), g(_RANGE, 2))).when(is_single, single).alias("min"),
-            F.when(is_range, _amount(g(_RANGE, 3), g(_RANGE, 4))).when(is_single, single).alias("max"),
-            F.when(usable, code).alias("currency"),
-            F.when(usable, nonblank(F.lower(g(_INTERVAL, 1)))).alias("interval"),
-        )
+            F.lower(whole(_CURRENCY)).alias("currency"), F.lower(whole(_INTERVAL)).alias("interval"),
+            whole(_RANGE).alias("range"), whole(_SINGLE).alias("single"))
+
+    def read(m):
+        codes = F.create_map(*[F.lit(x) for kv in vocab.CURRENCY_CODES.items() for x in kv])
+        code = F.try_element_at(codes, m["currency"])
+        g = lambda c, p, i: F.regexp_extract(c, p, i)
+        is_range = m["range"].isNotNull()
+        single = F.when(m["currency"].isNotNull(), m["single"])
+        one = _amount(g(single, _SINGLE, 1), g(single, _SINGLE, 2))
+        low, high = (_amount(g(m["range"], _RANGE, i), g(m["range"], _RANGE, i + 1)) for i in (1, 3))
+        return F.struct(
+            F.trim(F.coalesce(m["range"], single)).alias("text"),
+            F.when(is_range, low).otherwise(one).alias("min"),
+            F.when(is_range, high).otherwise(one).alias("max"),
+            code.alias("currency"), m["interval"].alias("interval"))
 
     parts = [value]
     if title is not None:
         parts.append(title)
     if description is not None:
         parts.append(F.substring(description, 1, 300))
-    parsed = let(clean_html(join_nonblank(" ", *parts)), read)
+    parsed = let(let(let(join_nonblank(" ", *parts), lambda t: clean_html(t)), find), read)
     if number is None:
         return parsed
     none = F.lit(None)

@@ -4,28 +4,29 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..schema import SECTIONS_DDL
-from .text import clean_html, html_text, is_title_case, let, normalize_ws, text_or_empty, text_lines, unescape_html
+from .text import LINE_BREAK, clean_html, html_text, is_title_case, let, normalize_ws, text_or_empty, unescape_html
 
 _BULLET = r"^[•*\-\d.)(]+(?U:\s)*"
 
 
 def heading_of(line):
     """Section label a line opens; NULL for ordinary lines."""
+    known = F.create_map(*[F.lit(x) for kv in vocab.HEADINGS.items() for x in kv])
+
     def label(text):
-        low = F.lower(text)
-        known = F.lit(None).cast("string")
-        for spelling, name in vocab.HEADINGS.items():
-            known = F.when(low == spelling, name).otherwise(known)
-        short = (text != "") & (F.length(text) <= 48) & is_title_case(text) & ~low.isin("remote", "onsite")
-        return F.coalesce(known, F.when(short, text))
+        short = (text != "") & ~F.lower(text).isin("remote", "onsite") & is_title_case(text)
+        return F.coalesce(F.try_element_at(known, F.lower(text)), F.when(short, text))
 
-    return let(normalize_ws(F.regexp_replace(line, r"^[: ]+|[: ]+$", "")), label)
+    cleaned = normalize_ws(F.regexp_replace(line, r"^[: ]+|[: ]+$", ""))
+    # No heading is longer than this, so prose lines are done after one length test.
+    return F.when(F.length(line) <= 120, let(cleaned, lambda t: F.when(F.length(t) <= 48, label(t))))
 
 
 def _items(lines, heading):
     cleaned = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, _BULLET, "")))
-    return F.slice(F.filter(
-        cleaned, lambda x: (x != "") & (F.lower(x) != F.lower(heading)) & (F.lower(x) != "description")), 1, 20)
+    # Headings have at most 48 characters, so long lines need no comparison.
+    repeats = lambda x: (F.length(x) <= 48) & F.lower(x).isin(F.lower(heading), F.lit("description"))
+    return F.slice(F.filter(cleaned, lambda x: (x != "") & ~repeats(x)), 1, 20)
 
 
 def _group(marked):
@@ -49,9 +50,12 @@ def _group(marked):
 
 def structure_description(value):
     """Sections ``(heading, items)`` of a description; without any, its first eight sentences."""
-    value = text_or_empty(value)
+    return let(text_or_empty(value), _structure)
+
+
+def _structure(value):
     text = F.when(F.contains(value, F.lit("<")), html_text(unescape_html(value))).otherwise(value)
-    lines = F.filter(F.transform(text_lines(text), normalize_ws), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, LINE_BREAK), normalize_ws), lambda x: x != "")
     marked = F.transform(lines, lambda x: F.struct(x.alias("line"), heading_of(x).alias("heading")))
     sentences = F.filter(F.transform(
         F.split(clean_html(value), r"(?<=\.)(?U:\s)+"), F.trim), lambda x: x != "")
@@ -59,7 +63,7 @@ def structure_description(value):
                                 F.slice(sentences, 1, 8).alias("items")))
 
     def build(m):
-        return F.when(F.size(m) == 0, F.array()).otherwise(
+        return F.when(F.size(m) == 0, F.array().cast(SECTIONS_DDL)).otherwise(
             let(_group(m), lambda s: F.when(F.size(s) > 0, s).otherwise(fallback)))
 
     return let(marked, build).cast(SECTIONS_DDL)

@@ -10,23 +10,28 @@ from .text import (
 _PHRASE = "(?U)(?:" + "|".join(vocab.SKILL_LEAD_INS) + r")\s+([a-z0-9+/#\-\s]{3,60})"
 
 
+def skills_in(padded, tags=None, limit=20):
+    """Skills of prepared text with a blank at both ends."""
+    known = F.array_compact(F.array(*[
+        F.when(contains_any(padded, aliases), F.lit(name)) for name, aliases in vocab.SKILLS
+    ]))
+    none = F.array().cast("array<string>")
+    matches = F.when(contains_any(padded, vocab.SKILL_LEAD_INS),
+                     F.regexp_extract_all(padded, F.lit(_PHRASE), F.lit(1))).otherwise(none)
+    phrases = F.filter(
+        F.transform(matches, lambda m: normalize_ws(
+            F.element_at(F.split(m, r"[.;:,]| and | or ", 2), 1))),
+        lambda p: F.size(F.split(p, " ")).between(2, 4))
+    extra = phrases if tags is None else F.concat(normalize_tags(tags), phrases)
+    # Known names are clean and distinct already.
+    return F.slice(F.array_union(known, normalize_tags(extra)), 1, limit)
+
+
 def extract_skills(title, company=None, description=None, tags=None, limit=20):
     """Known skills in vocabulary order, then given tags, then phrases after a lead-in."""
-    def collect(text):
-        known = F.array_compact(F.array(*[
-            F.when(contains_any(text, aliases), F.lit(name)) for name, aliases in vocab.SKILLS
-        ]))
-        matches = F.regexp_extract_all(text, F.lit(_PHRASE), F.lit(1))
-        phrases = F.filter(
-            F.transform(matches, lambda m: normalize_ws(
-                F.element_at(F.split(m, r"[.;:,]| and | or ", 2), 1))),
-            lambda p: F.size(F.split(p, " ")).between(2, 4))
-        parts = [known] + ([] if tags is None else [normalize_tags(tags)]) + [phrases]
-        return F.slice(normalize_tags(F.concat(*parts)), 1, limit)
-
     words = [text_or_empty(c) for c in (title, company, description) if c is not None]
     padded = F.concat(F.lit(" "), F.lower(clean_html(F.concat_ws(" ", *words))), F.lit(" "))
-    return let(padded, collect)
+    return let(padded, lambda p: skills_in(p, tags, limit))
 
 
 def infer_tags(*values):

@@ -100,14 +100,22 @@ def unescape_html(c):
 
 
 def _tidy(c):
-    c = F.replace(c, F.lit("â€¢"), F.lit("•"))
-    return normalize_ws(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]*[•·][\s\x1c-\x1f]*", " • "))
+    bullets = F.regexp_replace(F.replace(c, F.lit("â€¢"), F.lit("•")),
+                               r"(?U)[\s\x1c-\x1f]*[•·][\s\x1c-\x1f]*", " • ")
+    # Plain searches are far cheaper than the pattern; most texts have no bullet.
+    return normalize_ws(F.when(contains_any(c, ("•", "·", "â€¢")), bullets).otherwise(c))
 
 
 def clean_html(c):
     """Readable text of a fragment: entities resolved, markup dropped, one blank between nodes."""
     markup = let(unescape_html(c), lambda v: unescape_html(F.regexp_replace(v, _PROSE_DROP, " ")))
-    return _tidy(F.when(c.rlike("[<&]"), markup).otherwise(text_or_empty(c)))
+    marked = contains_any(c, ("<", "&"))
+    return let(F.when(marked, markup).otherwise(text_or_empty(c)), _tidy)
+
+
+def clean_again(c):
+    """``clean_html`` of text that is clean already: only rows that still show markup pay for it."""
+    return F.when(contains_any(c, ("<", "&")), clean_html(c)).otherwise(c)
 
 
 def html_text(c, sep="\n"):

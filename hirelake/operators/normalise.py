@@ -4,13 +4,13 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import scoring, urls
-from ..functions.classify import experience_level, infer_experience, job_type
+from ..functions.classify import experience_level, infer_experience_in, job_type_in, prepared
 from ..functions.dates import parse_datetime
 from ..functions.location import parse_location
 from ..functions.salary import parse_salary
 from ..functions.sections import structure_description
-from ..functions.skills import extract_skills
-from ..functions.text import clean_html, contains_any, let, nonblank, normalize_tags, normalize_ws
+from ..functions.skills import skills_in
+from ..functions.text import clean_again, clean_html, contains_any, join_nonblank, let, nonblank, normalize_tags, normalize_ws
 from ..schema import POSTING_SCHEMA, RAW_SCHEMA, conform
 
 _c = F.col
@@ -63,20 +63,29 @@ def normalise(raw, as_of, keep=("arrival",)):
     }).withColumns({
         "_jid": normalize_ws(F.coalesce(given("source_job_id"), urls.source_job_id(_c("_canon")))),
         "_title": clean_html(F.coalesce(given("title"), F.lit("Unknown role"))),
-        "_company": clean_html(urls.company_name(_c("company"), _c("_canon"))),
+        "_company": clean_again(urls.company_name(_c("company"), _c("_canon"))),
         "_desc": clean_html(F.coalesce(given("description_text"), _c("description"))),
     })
     df = split_title_company(df, "_title", "_company")
     tags = F.when(F.size("skills") > 0, _c("skills")).otherwise(_c("tags"))
     sources = F.when(F.size("aggregated_sources") > 0, _c("aggregated_sources")).otherwise(F.array("source"))
+    # Prepared texts, made once for all rules that search them.
     df = df.withColumns({
-        "_place": parse_location(_c("location"), _c("_title"), _c("_desc")),
+        "_low_title": F.lower(clean_again(_c("_title"))), "_low_desc": F.lower(clean_again(_c("_desc"))),
+    }).withColumns({
+        "_low": join_nonblank(" ", _c("_low_title"), _c("_low_desc")),
+        "_padded": F.concat(F.lit(" "), F.concat_ws(
+            " ", "_low_title", F.lower(clean_again(_c("_company"))), "_low_desc"), F.lit(" ")),
+        "_typed": prepared(_c("job_type")),
+    }).withColumn("_typed", join_nonblank(" ", _c("_typed"), _c("_low")))
+    df = df.withColumns({
+        "_place": parse_location(_c("location"), low=_c("_low")),
         "_pay": parse_salary(_c("salary_text"), _c("_title"), _c("_desc"), _c("salary_num")),
         "_level": F.coalesce(F.nullif(experience_level(_c("experience_level")), F.lit("unknown")),
-                             infer_experience(_c("_title"), _c("_desc"))),
+                             infer_experience_in(_c("_low"))),
         "_sections": structure_description(F.coalesce(given("_html"), _c("_desc"))),
-        "_skills": extract_skills(_c("_title"), _c("_company"), _c("_desc"), tags),
-        "_type": job_type(_c("job_type"), _c("_title"), _c("_desc")),
+        "_skills": skills_in(_c("_padded"), tags),
+        "_type": job_type_in(_c("_typed")),
         "_site": normalize_ws(F.coalesce(
             given("source_website"),
             nonblank(urls.net_location(F.coalesce(given("_canon"), _c("_apply")))), _c("source"))),

@@ -4,10 +4,17 @@ from pyspark.sql import functions as F
 
 from ..operators import crawl
 from ..sources import boards, dom, feeds, jsonld
-from .registry import query, table
+from .registry import query, spread
+from .registry import table as _table
 from .views import with_views
 
 _c = F.col
+
+
+def table(spark, sf_dir, name):
+    return spread(_table(spark, sf_dir, name))
+
+
 AS_OF = "2024-07-01 00:00:00"
 
 
@@ -17,7 +24,7 @@ def as_of():
 
 def _orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     return o.join(c, _c("o_custkey") == _c("c_custkey")).withColumns({
         "seq": _c("o_orderkey"), "o_orderdate": _c("o_orderdate").cast("timestamp")})
 

@@ -21,3 +21,13 @@ def query(name, oracle=None):
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df):
+    """Even out a scan with fewer splits than cores before per-row heavy work.
+
+    A small file has one split and would keep one core busy; inputs with enough splits pass
+    unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

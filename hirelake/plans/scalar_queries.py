@@ -5,10 +5,17 @@ from pyspark.sql import functions as F
 from .. import vocab
 from ..functions import classify, dates, detail, location, salary, scoring, sections, skills, text, urls
 from ..operators import normalise as norm
-from .registry import query, table
+from .registry import query, spread
+from .registry import table as _table
 from .views import v_raw, v_url, with_views
 
 _c = F.col
+
+
+def table(spark, sf_dir, name):
+    return spread(_table(spark, sf_dir, name))
+
+
 # DuckDB: Unicode white space class of the text functions.
 _WS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 

@@ -5,7 +5,7 @@ The SQL is valid in Spark and in DuckDB, so a query and its oracle start from th
 
 from pyspark.sql import functions as F
 
-from .registry import table
+from .registry import spread, table
 
 # A third of all postings come from one source, as hot keys do in real feeds.
 POST = """
@@ -70,8 +70,8 @@ FROM pages
 """
 
 
-def _sql(spark, sf_dir, text, source):
-    return spark.sql(text.replace(f"FROM {source}", "FROM {src}"), src=table(spark, sf_dir, source))
+def _sql(spark, sf_dir, text, source, shape=lambda df: df):
+    return spark.sql(text.replace(f"FROM {source}", "FROM {src}"), src=shape(table(spark, sf_dir, source)))
 
 
 def v_post(spark, sf_dir):
@@ -83,11 +83,11 @@ def v_post(spark, sf_dir):
 
 
 def v_raw(spark, sf_dir):
-    return _sql(spark, sf_dir, RAW, "documents")
+    return _sql(spark, sf_dir, RAW, "documents", spread)
 
 
 def v_url(spark, sf_dir):
-    return _sql(spark, sf_dir, URL, "pages")
+    return _sql(spark, sf_dir, URL, "pages", spread)
 
 
 def with_views(sql, **views):

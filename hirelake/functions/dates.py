@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .text import clean_html, let, nonblank, normalize_ws
+from .text import clean_html, let, literal_map, nonblank, normalize_ws
 
 _MONTHS = (
     "january", "february", "march", "april", "may", "june", "july", "august", "september",
@@ -35,11 +35,11 @@ def _num(c):
 
 
 def _month(name, full=True, short=True):
-    found = F.lit(None).cast("int")
+    names = {}
     for i, m in enumerate(_MONTHS, start=1):
-        names = ([m] if full else []) + ([m[:3]] if short else [])
-        found = F.coalesce(found, F.when(F.lower(name).isin(*names), F.lit(i)))
-    return found
+        names.update({m: i} if full else {})
+        names.update({m[:3]: i} if short else {})
+    return F.try_element_at(literal_map(names, "int"), F.lower(name))
 
 
 def _stamp(y, m, d, h=None, mi=None, s=None, micros=None):
@@ -57,9 +57,7 @@ def _offset_seconds(zone):
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
     digits = F.regexp_replace(zone, "[^0-9]", "")
     part = lambda i: F.coalesce(_num(F.substring(digits, i, 2)), F.lit(0))
-    named = F.lit(None).cast("int")
-    for name, hours in _ZONES.items():
-        named = F.coalesce(named, F.when(F.lower(zone) == name, F.lit(hours * 3600)))
+    named = F.try_element_at(literal_map({n: h * 3600 for n, h in _ZONES.items()}, "int"), F.lower(zone))
     return F.coalesce(named, sign * (part(1) * 3600 + part(3) * 60 + part(5)), F.lit(0))
 
 

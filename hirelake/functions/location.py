@@ -4,14 +4,13 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from .classify import workplace_in, workplace_type
-from .text import clean_html, let, nonblank, normalize_ws, py_title
+from .text import clean_html, let, literal_map, nonblank, normalize_ws, py_title
 
 _CITY_RE = r"(?iU)\b(" + "|".join(vocab.CITY_IN_TEXT) + r")\b"
 
 
 def _lookup(table, key):
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(literal_map(table), key)
 
 
 def parse_location(value, title=None, description=None, low=None):

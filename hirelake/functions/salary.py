@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
-from .text import clean_html, join_nonblank, let, nonblank, text_or_empty
+from .text import clean_html, join_nonblank, let, literal_map, nonblank, text_or_empty
 
 _CURRENCY = r"(?i)(KSh|KES|\$|USD|EUR|€|GBP|£)"
 _INTERVAL = r"(?iU)\b(hour|day|week|month|year|annum)\b"
@@ -29,8 +29,7 @@ def parse_salary(value, title=None, description=None, number=None):
             whole(_RANGE).alias("range"), whole(_SINGLE).alias("single"))
 
     def read(m):
-        codes = F.create_map(*[F.lit(x) for kv in vocab.CURRENCY_CODES.items() for x in kv])
-        code = F.try_element_at(codes, m["currency"])
+        code = F.try_element_at(literal_map(vocab.CURRENCY_CODES), m["currency"])
         g = lambda c, p, i: F.regexp_extract(c, p, i)
         is_range = m["range"].isNotNull()
         single = F.when(m["currency"].isNotNull(), m["single"])

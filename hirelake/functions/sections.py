@@ -4,14 +4,14 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..schema import SECTIONS_DDL
-from .text import LINE_BREAK, clean_html, html_text, is_title_case, let, normalize_ws, text_or_empty, unescape_html
+from .text import LINE_BREAK, clean_html, html_text, is_title_case, let, literal_map, normalize_ws, text_or_empty, unescape_html
 
 _BULLET = r"^[•*\-\d.)(]+(?U:\s)*"
 
 
 def heading_of(line):
     """Section label a line opens; NULL for ordinary lines."""
-    known = F.create_map(*[F.lit(x) for kv in vocab.HEADINGS.items() for x in kv])
+    known = literal_map(vocab.HEADINGS)
 
     def label(text):
         short = (text != "") & ~F.lower(text).isin("remote", "onsite") & is_title_case(text)

@@ -59,44 +59,38 @@ def join_nonblank(sep, *cols):
     return F.concat_ws(sep, *[nonblank(c) for c in cols])
 
 
-def _char(code):
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    return (
-        F.when(code.between(0x80, 0x9F),
-               F.substring(F.lit(_C1_CHARS), (code - 0x7F).cast("int"), F.lit(1)))
-        .when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-        .otherwise(F.lit("�"))
-    )
-
-
-def _resolve_entity(piece):
-    decimal = F.regexp_extract(piece, r"^&#([0-9]+)", 1)
-    hexa = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+)", 1)
-    beyond = F.lit(0x110000).cast("bigint")
-    code = (
-        F.when(decimal != "", F.coalesce(decimal.try_cast("bigint"), beyond))
-        .when(F.length(hexa) > 12, beyond)
-        .when(hexa != "", F.conv(hexa, 16, 10).cast("bigint"))
-    )
-    table = F.from_json(F.lit(_ENTITY_JSON), "map<string,string>")
-    bare = F.regexp_extract(piece, "^&(" + "|".join(_BARE_NAMES) + ")", 1)
-    exact = F.try_element_at(table, F.regexp_extract(piece, "^&(.*);$", 1))
-    prefix = F.concat(
-        F.try_element_at(table, bare),
-        F.substring(piece, F.length(bare) + 2, F.length(piece)),
-    )
-    return (
-        F.when(~piece.startswith("&") | (piece == "&"), piece)
-        .when(piece.startswith("&#") & code.isNotNull(), _char(code))
-        .otherwise(F.coalesce(exact, prefix, piece))
-    )
+def literal_map(table, value_type="string"):
+    """A fixed lookup table as one foldable expression."""
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{value_type}>")
+
+
+def _sql_text(value):
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Written as SQL text because the same lambda stands in many expressions: one parser call instead
+# of some hundred calls to build it.  ``p`` is a piece of text or one character reference.
+_RESOLVE_ENTITY = f"""p -> CASE
+  WHEN NOT startswith(p, '&') OR p = '&' THEN p
+  WHEN p RLIKE '^&#([0-9]|[xX][0-9a-fA-F])' THEN element_at(transform(array(CASE
+      WHEN p RLIKE '^&#[0-9]' THEN coalesce(try_cast(regexp_extract(p, '^&#([0-9]+)', 1) AS BIGINT), 1114112L)
+      WHEN length(p) > 14 THEN 1114112L
+      ELSE CAST(conv(regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1), 16, 10) AS BIGINT) END),
+    k -> CASE WHEN k BETWEEN 128 AND 159 THEN substring({_sql_text(_C1_CHARS)}, CAST(k - 127 AS INT), 1)
+      WHEN k BETWEEN 1 AND 55295 OR k BETWEEN 57344 AND 1114111 THEN decode(unhex(lpad(hex(k), 8, '0')), 'UTF-32')
+      ELSE '\ufffd' END), 1)
+  ELSE coalesce(
+    try_element_at(from_json({_sql_text(_ENTITY_JSON)}, 'map<string,string>'), regexp_extract(p, '^&(.*);$', 1)),
+    element_at(transform(array(regexp_extract(p, '^&({"|".join(_BARE_NAMES)})', 1)), b -> concat(
+      try_element_at(from_json({_sql_text(_ENTITY_JSON)}, 'map<string,string>'), b), substring(p, length(b) + 2))), 1),
+    p) END"""
 
 
 def unescape_html(c):
     """Resolve character references; text without an ampersand passes untouched."""
     pieces = F.regexp_extract_all(c, F.lit(_ENTITY_PIECE), F.lit(0))
-    return F.when(F.contains(c, F.lit("&")),
-                  F.array_join(F.transform(pieces, _resolve_entity), "")).otherwise(c)
+    resolved = F.call_function("transform", pieces, F.expr(_RESOLVE_ENTITY))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(resolved, "")).otherwise(c)
 
 
 def _tidy(c):
@@ -148,7 +142,7 @@ def py_title(c):
     runs = F.regexp_extract_all(
         c, F.lit(r"([\p{Lu}\p{Ll}\p{Lt}]+|[^\p{Lu}\p{Ll}\p{Lt}]+)"), F.lit(1))
     return F.array_join(F.transform(runs, lambda r: F.concat(
-        F.upper(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
+        F.initcap(F.substring(r, 1, 1)), F.lower(F.substring(r, F.lit(2), F.length(r))))), "")
 
 
 def is_title_case(c):

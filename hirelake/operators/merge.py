@@ -49,7 +49,8 @@ def with_signatures(postings):
 
 
 def _pairs(df, *cols):
-    return df.select(*cols, F.posexplode("signatures").alias("prio", "sig"))
+    # The outer form, so that no filter on the list is inferred and pushed into its expression.
+    return df.select(*cols, F.posexplode_outer("signatures").alias("prio", "sig")).filter(_c("sig").isNotNull())
 
 
 def match_signatures(existing, incoming, key="arrival"):
@@ -238,8 +239,8 @@ def _assemble(rows):
         ("skills", F.concat(F.coalesce("skills", F.array()), F.coalesce("tags", F.array()))),
         ("aggregated_sources", F.concat(F.coalesce("aggregated_sources", F.array()), F.array("source"))),
     ):
-        items = ranked.select("rec", "_rank", F.posexplode(distinct_lower(values)).alias("_pos", "_item"))
-        firsts = items.groupBy("rec", "_item").agg(F.min(F.struct("_rank", "_pos")).alias("_at"))
+        items = ranked.select("rec", "_rank", F.posexplode_outer(distinct_lower(values)).alias("_pos", "_item"))
+        firsts = items.filter(_c("_item").isNotNull()).groupBy("rec", "_item").agg(F.min(F.struct("_rank", "_pos")).alias("_at"))
         lists = firsts.groupBy("rec").agg(F.transform(
             F.sort_array(F.collect_list(F.struct("_at", "_item"))), lambda s: s["_item"]).alias(name))
         records = records.join(lists, "rec", "left")
@@ -274,14 +275,17 @@ def _changes(rows):
     return seen.filter(_c("rec") != _c("t")).select("arrival", F.coalesce(changed, F.lit(False)).alias("changed"))
 
 
-def merge_postings(incoming, existing=None):
+def merge_postings(incoming, existing=None, materialise=True):
     """Upsert ``incoming`` into ``existing`` exactly as one row after the other would.
 
     Both are postings with a LONG ``arrival``; existing rows count as earlier than all incoming
     ones, whatever their numbers.  Existing rows are never merged with each other; of several with
-    one id the last stays.
+    one id the last stays.  The incoming rows are read several times and written out first, unless
+    the caller says that they come straight from a table.
     """
     fields = [*POSTING_SCHEMA.names, "arrival"]
+    if materialise:
+        incoming = cut_lineage(incoming.select(*fields))
     new = incoming.select(*fields, F.lit(False).alias("_stored"))
     if existing is None:
         table = new

@@ -12,6 +12,7 @@ from ..functions.sections import structure_description
 from ..functions.skills import skills_in
 from ..functions.text import clean_again, clean_html, contains_any, join_nonblank, let, nonblank, normalize_tags, normalize_ws
 from ..schema import POSTING_SCHEMA, RAW_SCHEMA, conform
+from ..session import stage_boundary
 
 _c = F.col
 
@@ -25,7 +26,7 @@ def looks_like_job(title, description):
 
 
 def noise_filter(raw):
-    return raw.filter(looks_like_job(_c("title"), _c("description")))
+    return stage_boundary(raw).filter(looks_like_job(_c("title"), _c("description")))
 
 
 def split_title_company(df, title="title", company="company", source="source"):
@@ -115,7 +116,7 @@ def normalise(raw, as_of, keep=("arrival",)):
         _c("_pay.interval").alias("salary_interval"), *extra,
     )
     out = out.withColumn("quality_score", scoring.completeness())
-    return out.select(*POSTING_SCHEMA.names, *extra)
+    return stage_boundary(out.select(*POSTING_SCHEMA.names, *extra))
 
 
 def renormalise(postings, as_of, keep=("arrival",)):

@@ -6,7 +6,6 @@ from .. import vocab
 from ..operators import merge
 from ..operators.normalise import noise_filter, normalise
 from ..operators.ordering import cap_per_source, unique_first, with_rank
-from ..session import cut_lineage
 from ..sources import boards, registry, store
 
 _c = F.col
@@ -39,8 +38,8 @@ def run_ingest(spark, landed, root, name, as_of, sources=None, detail_pages=None
     source counted).
     """
     raw, errors = registry.collect_raw(landed, as_of, sources, detail_pages)
-    incoming = cut_lineage(in_run_order(prepare(raw, as_of, per_source), sources))
-    done = merge.merge_postings(incoming, store.read_postings(spark, root, None))
+    incoming = in_run_order(prepare(raw, as_of, per_source), sources)
+    done = merge.merge_postings(incoming, store.read_postings(spark, root), materialise=False)
     store.write_postings(done.postings, root, name)
     faults = errors.groupBy("source").agg(F.count(F.lit(1)).alias("errors"))
     return done.report.join(faults, "source", "full").select(

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name="hirelake", master=None, **conf):
@@ -16,6 +17,8 @@ def build_session(app_name="hirelake", master=None, **conf):
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Call-site capture doubles the time it takes to build large expressions.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -50,3 +53,14 @@ def cut_lineage(df):
     path = scratch_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_boundary(df):
+    """Keep later filters above this point.
+
+    The optimizer rewrites a filter in terms of the columns below it; over the staged text columns
+    of this engine that would repeat costly expressions many times over.  A row count observed on
+    the way (free, and visible in the query metrics) stops that, while unused columns are still
+    pruned through it.
+    """
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))

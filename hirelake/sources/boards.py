@@ -10,6 +10,7 @@ from ..functions.classify import job_type
 from ..operators.normalise import looks_like_job, merge_lists, merge_values
 from ..operators.ordering import top_n_per_key
 from ..schema import RAW_SCHEMA, conform
+from ..session import stage_boundary
 from . import dom, jsonld
 from .feeds import POSITION_BITS
 
@@ -224,7 +225,7 @@ def board_listings(pages, board, as_of):
     rows = rows.select(
         "seq", "pos", _c("url").alias("page_url"), urls.absolute_href(_c("url"), _c("href")).alias("job_url"),
         *[c.alias(n) for n, c in fields.items()])
-    out = rows.withColumns({"source": F.lit(board.source), "apply_url": _c("job_url"),
+    out = stage_boundary(rows).withColumns({"source": F.lit(board.source), "apply_url": _c("job_url"),
                             "arrival": F.shiftleft(_c("seq").cast("bigint"), POSITION_BITS) + _c("pos")})
     if board.source != "fuzu":
         out = out.withColumn("skills", skills.infer_tags(_c("title"), _c("company"), _c("description")))
@@ -315,4 +316,4 @@ def adapt_board(listing_pages, detail_pages, board, as_of):
         rows = conform(listings, RAW_SCHEMA)
     else:
         rows = enrich_listings(listings, extract_details(detail_pages, board), board)
-    return rows.filter(looks_like_job(_c("title"), _c("description")))
+    return stage_boundary(rows).filter(looks_like_job(_c("title"), _c("description")))

@@ -162,7 +162,9 @@ def _settle(active, stored_writes, start=None):
         guess = first.join(lowest, "sig").filter((_c("low") < _c("t")) & ~_c("stored")).groupBy("t").agg(
             F.min_by("low", "prio").alias("low"))
         rows = active.join(guess, "t", "left").withColumn("rec", F.coalesce("low", "t")).drop("low")
-        rows = rows.withColumn("top", _c("rec") == _c("t"))
+        # A record scores at least as high as any of its rows, so a take-over is mostly a new maximum.
+        rows = running_before(rows, "rec", "t", {"_best": ("max", _c("score"))}).withColumn(
+            "top", (_c("rec") == _c("t")) | F.coalesce(_c("score") > _c("_best"), F.lit(False))).drop("_best")
     else:
         rows = active.join(start, "t", "left").withColumns({
             "rec": F.coalesce("rec", "t"), "top": F.coalesce(_c("top"), F.lit(True))})

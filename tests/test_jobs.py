@@ -152,3 +152,29 @@ def test_registered_queries_have_unique_columns_and_entry_runs(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(entry.queries()) - set(entry.oracle_sql()) == {"merge_replay", "ingest_stream"}
     assert entry.entry(spark).columns == ["metric", "rank", "label", "count"]
+
+
+def test_admission_on_a_stream(spark, tmp_path):
+    from hirelake.streaming.admission import admit_stream
+
+    rows = [("a", s) for s in (0, 1, 2, 3, 61, 62)] + [("b", 5)]
+    events = spark.createDataFrame([(k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in rows], "k string, ts timestamp")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    run = admit_stream(stream, "k", "ts").writeStream.format("memory").queryName("admitted").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = [r["decision"] for r in spark.sql("SELECT * FROM admitted ORDER BY k, ts").collect()]
+    # The third second is full; at 61 s the first event no longer counts, at 62 s neither does the second.
+    assert got == ["admitted", "admitted", "admitted", "rate", "admitted", "admitted", "admitted"]
+
+
+def test_stored_table_prunes_sources_and_columns(spark):
+    row = {"title": "Engineer", "company": "Acme", "location": "Lagos", "description": "d"}
+    jobs = normalise(raw(spark, [{**row, "source": s, "job_url": f"https://x.ex/{s}"} for s in ("lever", "fuzu")]), as_of())
+    root = scratch_path(spark, "jobs")
+    store.write_postings(jobs, root, "s1")
+    hits = filter_postings(store.read_postings(spark, root), source="lever")
+    plan = hits.select("title")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(source" in plan and "description" not in plan
+    assert hits.count() == 1

@@ -11,7 +11,8 @@ _STATE = T.StructType([T.StructField("log", T.ArrayType(T.LongType())), T.Struct
 def admit_stream(events, key, ts, limit=vocab.RATE_LIMIT, window_s=vocab.RATE_WINDOW_SECONDS, cooldown_s=None):
     """Decide each event as it arrives; the state of a key is its last admitted times.
 
-    Within a micro-batch the events of a key are taken in time order.
+    Within a micro-batch the events of a key are taken in time order; what a key can hold there is
+    bounded by the rate options of the source (files, bytes or offsets per trigger).
     """
     schema = T.StructType([events.schema[key], events.schema[ts], T.StructField("decision", T.StringType())])
     window_us = int(window_s * 1_000_000)

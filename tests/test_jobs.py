@@ -1,4 +1,4 @@
-"""Whole jobs on small fixtures: the two reference cases, adapters, boards, store, streams."""
+"""Whole jobs on small fixtures: the normalise and merge cases, adapters, boards, store, streams."""
 
 from datetime import datetime, timedelta
 

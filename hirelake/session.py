@@ -6,6 +6,9 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+#: Interim tables of this process, for ``clear_scratch``.
+_SCRATCH = []
+
 
 def build_session(app_name="hirelake", master=None, **conf):
     """Session with the settings the engine relies on; cluster settings win when present."""
@@ -28,11 +31,14 @@ def build_session(app_name="hirelake", master=None, **conf):
 def checkpoint_root(spark):
     """Shared folder for checkpoints and interim tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder is used only where
-    that setting is missing, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that setting is missing a temporary
+    folder serves a local session, as in tests; on a cluster the executors could not read it, so
+    that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="hirelake-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,7 +47,20 @@ def checkpoint_root(spark):
 
 
 def scratch_path(spark, label):
-    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clear_scratch(spark):
+    """Delete the interim tables that this process has written.
+
+    Only for a session whose results have been stored: a DataFrame that still reads an interim
+    table fails afterwards.
+    """
+    while _SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df):

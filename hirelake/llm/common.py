@@ -1,7 +1,11 @@
 """Small helpers that the corpus operators share."""
 
+import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 #: Characters between words, as Java and Python patterns.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +45,58 @@ def join_side(left, right, key, rows, salt_by, how="left"):
     salted = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(SALTS)).cast("int"))
     return dealt.join(salted, [*([key] if isinstance(key, str) else key), "_salt"], how).drop("_salt")
+
+
+def stored(df, *partition_by):
+    """Write the rows to the shared folder, compressed tightly, and read them back."""
+    path = scratch_path(df.sparkSession, "rows")
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pack_ints(values):
+    """Compressed bytes of an integer array; small numbers take little room."""
+    planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_ints(data):
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
+def spans(starts, lengths):
+    """Positions of many ranges, one after the other."""
+    lengths = np.asarray(lengths, dtype=np.int64)
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(np.asarray(starts, dtype=np.int64) - (ends - lengths), lengths)
+
+
+def portions(batches, size_of, most):
+    """Regroup Arrow batches into tables of about ``most`` bytes, cutting between rows only."""
+    import pyarrow as pa
+
+    held, weight = [], 0
+    for batch in batches:
+        sizes = np.cumsum(size_of(batch) + 16)
+        at = 0
+        while at < batch.num_rows:
+            before = int(sizes[at - 1]) if at else 0
+            end = max(int(np.searchsorted(sizes, before + most - weight, side="right")), at + (not held))
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                weight += int(sizes[end - 1]) - before
+            at = end
+            if at < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, weight = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def byte_lengths(column):
+    """Length in bytes of every value, 0 for NULL."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from . import bpe
 from . import chat_windows as chat
+from . import packing
 from . import quality_rules as rules
 from .common import table
 
@@ -40,3 +42,16 @@ def op4(spark, sf_dir):
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text"))
     return chat.conversation_digests(chat.chat_windows(rows.unionByName(probe)))
+
+
+@query("op5_bpe_codec")
+def op5(spark, sf_dir):
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), decode=True)
+    return coded.select(
+        "doc_id", F.expr("octet_length(ids) DIV 4").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"))

@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import chat_windows as chat
-from . import packing
+from . import language_models, packing
 from . import quality_rules as rules
-from .common import table
+from . import quality_vote, topk_search
+from .common import fold, table
 
 QUERIES = {}
 ORACLES = {}
@@ -55,3 +56,24 @@ def op5(spark, sf_dir):
 @query("op3_best_fit_packing")
 def op3(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op2_topk_search", topk_search.SQL)
+def op2(spark, sf_dir):
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op8_language_id")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language_models.held_out(F.col("doc_id"))
+    guessed = language_models.identify(docs, docs.filter(~held))
+    return guessed.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op10_quality_vote")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_vote.fit(docs, table(spark, sf_dir, "labels"))
+    scored = quality_vote.quality_votes(docs, model)
+    return scored.select("doc_id", (fold(F.col("doc_id"), quality_vote.FOLDS) == 0).alias("held_out"), "score", "predicted")

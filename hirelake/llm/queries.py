@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import chat_windows as chat
-from . import language_models, packing
+from . import html_mincut, language_models, packing
 from . import quality_rules as rules
 from . import quality_vote, topk_search
 from .common import fold, table
@@ -77,3 +77,8 @@ def op10(spark, sf_dir):
     model = quality_vote.fit(docs, table(spark, sf_dir, "labels"))
     scored = quality_vote.quality_votes(docs, model)
     return scored.select("doc_id", (fold(F.col("doc_id"), quality_vote.FOLDS) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op9_html_mincut")
+def op9(spark, sf_dir):
+    return html_mincut.extract_pages(table(spark, sf_dir, "pages"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import chat_windows as chat
-from . import html_mincut, language_models, packing
+from . import html_mincut, language_models, minhash_dedup, packing
 from . import quality_rules as rules
 from . import quality_vote, topk_search
 from .common import fold, table
@@ -82,3 +82,8 @@ def op10(spark, sf_dir):
 @query("op9_html_mincut")
 def op9(spark, sf_dir):
     return html_mincut.extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query("op7_minhash_dedup")
+def op7(spark, sf_dir):
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))

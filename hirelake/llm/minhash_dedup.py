@@ -2,9 +2,9 @@
 
 1. Each text becomes the set of its 5-word shingles (64-bit hashes), the set a digest, band keys and a
    short signature.  Texts with the same set form a class; one of them stands for it.
-2. Representatives that share a band key are candidates.  While a bucket of many holds more pairs than
-   rows, each bucket names one pivot, only pairs with the pivot are verified, and what proves linked is
-   merged, so a group of near copies never becomes all of its pairs.  Pairs inside one component need no
+2. Representatives that share a band key are candidates.  While the buckets hold more pairs than rows and
+   that helps, each bucket names one pivot, only pairs with the pivot are verified, and what proves linked
+   is merged, so a group of near copies never becomes all of its pairs.  Pairs inside one component need no
    test any more; the pairs that are left, between different components, are all verified.
 3. The signatures of a pair are compared batch by batch.  With a uniform prior the similarity has a
    beta posterior; a pair is dropped once its chance to reach the threshold is below ``MISS``.
@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 6
 CHECKED, STEP = 128, 32
 MISS = 1e-6
 BATCH_BYTES = 4 << 20
-PAIRS_PER_ROW = 4
+PAIRS_PER_ROW = 1
 PIVOT_ROUNDS = 6
 
 _rng = np.random.default_rng(20)
@@ -125,7 +125,8 @@ def _sets(id_type):
             sets = shingle_sets(rows.column("text").combine_chunks())
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id").combine_chunks(), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "digest", "shingles"])
+                 pa.array([s.tobytes() for s in sets], pa.binary()), rows.column("_wanted").combine_chunks()],
+                names=["rep", "digest", "shingles", "_wanted"])
 
     return run
 
@@ -192,12 +193,16 @@ class _Verifier:
         from pyspark.sql.pandas.types import to_arrow_type
 
         alive = stored(_with_both(pairs, self.reps, "sig", "sig").mapInArrow(_prune, self.pair))
-        ends = stored(alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct())
-        wanted = join_side(self.docs, ends.withColumnRenamed("rep", "doc_id"), "doc_id", ends.count(), ["doc_id"], "inner")
-        schema = T.StructType([T.StructField("rep", self.kind), T.StructField("digest", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
-        sets = wanted.mapInArrow(_sets(to_arrow_type(self.kind)), schema)
+        ends = alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct()
+        ends = stored(ends.join(self.reps.select("rep", "digest"), "rep").withColumnsRenamed({"rep": "doc_id", "digest": "_wanted"}))
+        n = ends.count()
+        schema = T.StructType([T.StructField("rep", self.kind), T.StructField("digest", T.BinaryType()),
+                               T.StructField("shingles", T.BinaryType()), T.StructField("_wanted", T.BinaryType())])
+        wanted = join_side(self.docs, ends, "doc_id", n, ["doc_id"], "inner")
         # A repeated id can have several texts; the set is the one the representative was made of.
-        sets = stored(sets.join(self.reps.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep"]))
+        sets = stored(wanted.mapInArrow(_sets(to_arrow_type(self.kind)), schema).filter("digest = _wanted").select("rep", "shingles"))
+        if sets.count() > n:
+            sets = sets.dropDuplicates(["rep"])
         return stored(_with_both(alive, sets, "shingles", "set").mapInArrow(_confirm, self.pair))
 
 
@@ -238,12 +243,10 @@ def _buckets(reps):
     return stored(every.join(shared, "key"))
 
 
-def _open_rows(buckets, roots):
+def _open_rows(rows, roots):
     """Bucket rows with their component, for buckets that still hold more than one."""
-    rows = buckets if roots is None else buckets.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.withColumn("root", F.col("rep") if roots is None else F.coalesce("root", "rep"))
-    if roots is None:
-        return rows
+    rows = rows.select("key", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "key", "rep", F.coalesce("root", "rep").alias("root"))
     mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     return rows.join(mixed, "key")
 
@@ -251,15 +254,18 @@ def _open_rows(buckets, roots):
 def near_links(docs, reps, kind):
     """Components of the representatives: (node, root) for those that have links."""
     check = _Verifier(docs, reps, kind)
-    buckets, links, roots, tested = _buckets(reps), None, None, None
+    rows = _buckets(reps).withColumn("root", F.col("rep"))
+    links, roots, tested, before = None, None, None, math.inf
     for turn in range(PIVOT_ROUNDS + 1):
-        rows = stored(_open_rows(buckets, roots).select("key", "rep", "root"))
+        if turn:
+            rows = stored(_open_rows(rows, roots))
         sizes = rows.groupBy("key", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("key").agg(
             F.sum("c").alias("m"), ((F.sum("c") ** 2 - F.sum(F.col("c") ** 2)) / 2).alias("pairs"))
         total = sizes.agg(F.sum("m").alias("rows"), F.sum("pairs").alias("pairs")).first()
         if not total["rows"]:
             break
-        every = turn == PIVOT_ROUNDS or total["pairs"] <= PAIRS_PER_ROW * total["rows"]
+        every = turn == PIVOT_ROUNDS or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or total["pairs"] > before / 4
+        before = total["pairs"]
         if every:
             other = rows.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
             pairs = rows.join(other, "key").filter("rep < other AND root <> other_root")

@@ -1,13 +1,13 @@
 """Encoding and decoding with a public BPE vocabulary through a table of distinct words.
 
 Texts are split at ASCII white space, which the tokenizer drops and across which none of its steps
-reaches.  Texts travel as blocks: a block holds the words of some documents as numbers that point
-into the block's own word list.  The word lists are dealt by the hash of the word, each distinct
-word is encoded once there (per ``GROUP`` blocks, so that the table of a task stays small at any
-size), and the ids go back to the blocks, where they are put in place by word number.  Decoding
+reaches.  Texts become blocks: a block holds the words of some documents as numbers that point into
+the block's own word list.  Blocks are written once, bucketed, and stay.  The word lists are dealt by
+the hash of the word, each distinct word is encoded once there (per ``GROUP`` blocks, so that the table
+of a task stays small at any size), and the ids are joined back to the blocks by word number.  Decoding
 joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
 
-Python is used because the encoder is a library; the shuffles carry word lists and numbers only,
+Python is used because the encoder is a library; the shuffles carry word lists and their ids only,
 never texts.
 
 Defined results: NULL or blank text has no ids and decodes to the empty string.  Repeated rows and
@@ -17,6 +17,7 @@ No rows: no rows.  Only the id and text columns are read, whatever else there is
 
 import os
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -24,7 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_lengths, pack_ints, portions, small_batches, spans, stored, unpack_ints
+from ..session import scratch_path
+from .common import byte_lengths, pack_ints, portions, small_batches, spans, unpack_ints
 
 BLOCK_BYTES = 16 << 20
 BUCKETS = 256
@@ -32,6 +34,8 @@ GROUP = 4096
 #: Letters of one word of the tokenizer, then at most one mark that is a word of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.]?)")
 
+CHUNK_WORDS = 1 << 18
+
 _BLOCK = "block long, bucket int, doc_ids array<{id}>, counts array<int>, data binary, codes binary"
 
 
@@ -82,12 +86,12 @@ def _to_blocks(id_type):
             ends = np.searchsorted(home[order], np.arange(BUCKETS + 1)) if found else np.zeros(BUCKETS + 1, int)
             block = (part << 24) + n
             n += 1
-            out = [(block, -1, rows.column("id").to_pylist(),
-                    counts, pack_ints(coded.indices.to_numpy()), None)]
+            out = [(block, -1, rows.column("id").to_pylist(), counts,
+                    pack_ints(coded.indices.to_numpy()), pack_ints(np.array(order, dtype=np.uint32)))]
             for b in range(BUCKETS):
                 mine = order[ends[b]:ends[b + 1]]
                 if mine:
-                    out.append((block, b, None, None, squeeze(b" ".join([found[i] for i in mine])), pack_ints(np.array(mine))))
+                    out.append((block, b, None, None, squeeze(b" ".join([found[i] for i in mine])), None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(schema)], schema=schema)
 
@@ -130,58 +134,72 @@ def _encode_words(vocabulary):
                 learn({k for pair in keys for k in pair if k and k not in known})
                 ids = [known[a] + known[b] if b else known[a] for a, b in keys]
                 lens = np.array([len(x) >> 2 for x in ids])
-                data = pack_ints(np.concatenate([lens, np.frombuffer(b"".join(ids), dtype="<u4")]))
-                out.append((row["block"], row["bucket"], None, None, data, row["codes"]))
+                data = pack_ints(np.concatenate([[len(lens)], lens, np.frombuffer(b"".join(ids), dtype="<u4")]))
+                out.append((row["block"], row["bucket"], data))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(batch.schema)], schema=batch.schema)
+                [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
+                names=["block", "bucket", "data"])
 
     return run
 
 
 def _put_back(id_type, pieces):
-    """Word rows, then the document row of each block, to one row of ids per document."""
+    """Blocks with the ids of their words to one row of ids per document."""
     def run(batches):
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", id_type), ("ids", pa.binary())] + [("decoded", pa.string())] * (pieces is not None))
         shown = pa.array([p + " " for p in pieces.value], pa.large_string()) if pieces is not None else None
-        block, table = None, []
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["block"] != block:
-                    block, table = row["block"], []
-                if row["bucket"] >= 0:
-                    table.append((unpack_ints(row["codes"]), unpack_ints(row["data"])))
-                    continue
-                words = sum(len(c) for c, _ in table)
-                lens, starts = np.zeros(words, np.int64), np.zeros(words, np.int64)
-                at = 0
-                for codes, got in table:
-                    n = len(codes)
-                    lens[codes] = got[:n]
-                    starts[codes] = at + np.cumsum(got[:n].astype(np.int64)) - got[:n]
-                    at += len(got) - n
-                pool = np.concatenate([got[len(c):] for c, got in table]) if table else np.zeros(0, "<u4")
-                codes, counts = unpack_ints(row["data"]), np.array(row["counts"], dtype=np.int64)
-                upto = np.concatenate([[0], np.cumsum(lens[codes])])
-                ids = pool[spans(starts[codes], lens[codes])].astype("<u4")
-                ends = upto[np.concatenate([[0], np.cumsum(counts)])]
-                raw = ids.tobytes()
-                columns = [pa.array(row["doc_ids"], id_type),
-                           pa.array([raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])], pa.binary())]
-                if shown is not None:
-                    text = shown.take(pa.array(ids.astype(np.int64)))
-                    offset = np.frombuffer(text.buffers()[1], dtype=np.int64, count=len(text) + 1) if len(text) else np.zeros(1, int)
-                    data = text.buffers()[2] if len(text) else b""
-                    columns.append(pa.array([bytes(data[offset[a]:offset[b] - 1]).decode() if b > a else ""
-                                             for a, b in zip(ends, ends[1:])], pa.string()))
-                out = pa.RecordBatch.from_arrays(columns, schema=schema)
-                for i in range(0, out.num_rows, 1024):
-                    yield out.slice(i, 1024)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                of_bucket = [unpack_ints(x["data"]) for x in sorted(row["words"] or [], key=lambda x: x["bucket"])]
+                order, codes = unpack_ints(row["codes"]), unpack_ints(row["data"])
+                got = [(int(x[0]), x) for x in of_bucket]
+                lens = np.zeros(len(order), np.int64)
+                starts = np.zeros(len(order), np.int64)
+                lens[order] = np.concatenate([x[1:n + 1] for n, x in got]) if got else 0
+                starts[order] = np.cumsum(lens[order]) - lens[order]
+                pool = np.concatenate([x[n + 1:] for n, x in got]) if got else np.zeros(0, "<u4")
+                counts = np.array(row["counts"], dtype=np.int64)
+                upto = np.concatenate([[0], np.cumsum(counts)])
+                a = 0
+                while a < len(counts):  # some documents at a time
+                    b = max(a + 1, min(int(np.searchsorted(upto, upto[a] + CHUNK_WORDS, side="right")) - 1, a + 1024))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(row["doc_ids"][a:b], id_type), *_documents(codes[upto[a]:upto[b]], counts[a:b], lens, starts, pool, shown)],
+                        schema=schema)
+                    a = b
 
     return run
 
 
+def _documents(codes, counts, lens, starts, pool, shown):
+    """Ids, and decoded text if ``shown`` is given, of documents whose words stand in ``codes``."""
+    import pyarrow as pa
+
+    each = lens[codes]
+    ids = pool[spans(starts[codes], each)].astype("<u4")
+    ends = np.concatenate([[0], np.cumsum(each)])[np.concatenate([[0], np.cumsum(counts)])]
+    raw = ids.tobytes()
+    out = [pa.array([raw[4 * a:4 * b] for a, b in zip(ends, ends[1:])], pa.binary())]
+    if shown is not None:
+        text = shown.take(pa.array(ids.astype(np.int64)))
+        at = np.frombuffer(text.buffers()[1], dtype=np.int64, count=len(text) + 1) if len(text) else np.zeros(1, int)
+        data = text.buffers()[2] if len(text) else b""
+        out.append(pa.array([bytes(data[at[a]:at[b] - 1]).decode() if b > a else "" for a, b in zip(ends, ends[1:])], pa.string()))
+    return out
+
+
+def _bucketed(df, key):
+    """Write the rows once as a table bucketed by ``key``: a later join on it need not move them again."""
+    spark = df.sparkSession
+    name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, key).option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def encode_documents(docs, vocabulary=None, decode=False):
     """``doc_id`` and ``text`` to ``doc_id``, ``ids`` (little-endian unsigned 32-bit numbers).
 
@@ -195,12 +213,12 @@ def encode_documents(docs, vocabulary=None, decode=False):
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     schema = T._parse_datatype_string(_BLOCK.format(id=kind.simpleString()))
-    blocks = stored(docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_to_blocks(arrow), schema))
-    lists = blocks.filter("bucket >= 0").withColumn("grp", F.expr(f"block DIV {GROUP}"))
+    blocks = _bucketed(docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_to_blocks(arrow), schema), "block")
+    lists = blocks.filter("bucket >= 0").select("block", "bucket", "data").withColumn("grp", F.expr(f"block DIV {GROUP}"))
     coded = lists.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket").drop("grp").mapInArrow(
-        _encode_words(shipped), schema)
-    both = coded.unionByName(blocks.filter("bucket < 0")).repartition("block").sortWithinPartitions(
-        "block", F.desc("bucket"))
+        _encode_words(shipped), "block long, bucket int, data binary")
+    coded = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("words"))
+    both = blocks.filter("bucket < 0").join(coded, "block", "left").select("doc_ids", "counts", "data", "codes", "words")
     pieces = None
     if decode:
         tok = _tokenizer(content)

@@ -57,7 +57,7 @@ def stored(df, *partition_by):
 def pack_ints(values):
     """Compressed bytes of an integer array; small numbers take little room."""
     planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
 
 def unpack_ints(data):

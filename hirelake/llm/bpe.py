@@ -126,14 +126,17 @@ def _encode_words(vocabulary):
             for row in batch.to_pylist():
                 if (row["block"] // GROUP, row["bucket"]) != at:
                     at, known = (row["block"] // GROUP, row["bucket"]), {}
-                keys = []
-                for w in expand(row["data"]).decode().split(" "):
-                    m = plain(w)
-                    core = m[1] if m else w
-                    keys.append((core.lower() if m and core.isascii() else core, m[2] if m else ""))
-                learn({k for pair in keys for k in pair if k and k not in known})
-                ids = [known[a] + known[b] if b else known[a] for a, b in keys]
-                lens = np.array([len(x) >> 2 for x in ids])
+                words = expand(row["data"]).decode().split(" ")
+                fresh = {}
+                for w in words:
+                    if w not in known:
+                        m = plain(w)
+                        core = m[1] if m else w
+                        fresh[w] = (core.lower() if m and core.isascii() else core, m[2] if m else "")
+                learn({k for pair in fresh.values() for k in pair if k and k not in known})
+                known.update((w, known[a] + known[b] if b else known[a]) for w, (a, b) in fresh.items())
+                ids = [known[w] for w in words]
+                lens = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) >> 2
                 data = pack_ints(np.concatenate([[len(lens)], lens, np.frombuffer(b"".join(ids), dtype="<u4")]))
                 out.append((row["block"], row["bucket"], data))
             yield pa.RecordBatch.from_arrays(

@@ -17,7 +17,7 @@ def _amount(digits, suffix):
     return F.when(suffix != "", n * 1000).otherwise(n)
 
 
-def parse_salary(value, title=None, description=None, number=None):
+def parse_salary(value, title=None, description=None, number=None, search=None):
     """struct(text, min, max, currency, interval) from the salary text, the title and the first
     300 characters of the description.  A numeric salary is taken as the minimum."""
     def find(t):
@@ -45,7 +45,7 @@ def parse_salary(value, title=None, description=None, number=None):
     if title is not None:
         parts.append(title)
     if description is not None:
-        parts.append(F.substring(description, 1, 300))
+        parts.append(description if search is None else F.substring(description, 1, search))
     parsed = let(let(let(join_nonblank(" ", *parts), lambda t: clean_html(t)), find), read)
     if number is None:
         return parsed

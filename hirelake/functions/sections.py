@@ -18,18 +18,21 @@ def heading_of(line):
         return F.coalesce(F.try_element_at(known, F.lower(text)), F.when(short, text))
 
     cleaned = normalize_ws(F.regexp_replace(line, r"^[: ]+|[: ]+$", ""))
-    # No heading is longer than this, so prose lines are done after one length test.
-    return F.when(F.length(line) <= 120, let(cleaned, lambda t: F.when(F.length(t) <= 48, label(t))))
+    return let(cleaned, lambda t: F.when(F.length(t) <= 48, label(t)))
 
 
-def _items(lines, heading):
+def _first(values, most):
+    return values if most is None else F.slice(values, 1, most)
+
+
+def _items(lines, heading, most):
     cleaned = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, _BULLET, "")))
     # Headings have at most 48 characters, so long lines need no comparison.
     repeats = lambda x: (F.length(x) <= 48) & F.lower(x).isin(F.lower(heading), F.lit("description"))
-    return F.slice(F.filter(cleaned, lambda x: (x != "") & ~repeats(x)), 1, 20)
+    return _first(F.filter(cleaned, lambda x: (x != "") & ~repeats(x)), most)
 
 
-def _group(marked):
+def _group(marked, most):
     """Cut the marked lines at their headings; row-local and linear in the number of lines."""
     n = F.size(marked)
     heads = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(marked, i)["heading"].isNotNull())
@@ -42,29 +45,32 @@ def _group(marked):
             F.element_at(marked, F.greatest(first, F.lit(1)))["heading"])
         body = F.slice(marked, first + 1, nxt - first - 1)
         return let(head, lambda h: F.struct(
-            h.alias("heading"), _items(F.transform(body, lambda m: m["line"]), h).alias("items")))
+            h.alias("heading"), _items(F.transform(body, lambda m: m["line"]), h, most).alias("items")))
 
     spans = F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), e.alias("e")))
     return F.filter(F.transform(spans, section), lambda x: F.size(x["items"]) > 0)
 
 
-def structure_description(value):
-    """Sections ``(heading, items)`` of a description; without any, its first eight sentences."""
-    return let(text_or_empty(value), _structure)
+def structure_description(value, items=None, sentences=None):
+    """Sections ``(heading, items)`` of a description; without any, its sentences.
+
+    ``items`` and ``sentences`` limit how many are kept; without them all are.
+    """
+    return let(text_or_empty(value), lambda v: _structure(v, items, sentences))
 
 
-def _structure(value):
+def _structure(value, most_items, most_sentences):
     text = F.when(F.contains(value, F.lit("<")), html_text(unescape_html(value))).otherwise(value)
     lines = F.filter(F.transform(F.split(text, LINE_BREAK), normalize_ws), lambda x: x != "")
     marked = F.transform(lines, lambda x: F.struct(x.alias("line"), heading_of(x).alias("heading")))
     sentences = F.filter(F.transform(
         F.split(clean_html(value), r"(?<=\.)(?U:\s)+"), F.trim), lambda x: x != "")
     fallback = F.array(F.struct(F.lit("Overview").alias("heading"),
-                                F.slice(sentences, 1, 8).alias("items")))
+                                _first(sentences, most_sentences).alias("items")))
 
     def build(m):
         return F.when(F.size(m) == 0, F.array().cast(SECTIONS_DDL)).otherwise(
-            let(_group(m), lambda s: F.when(F.size(s) > 0, s).otherwise(fallback)))
+            let(_group(m, most_items), lambda s: F.when(F.size(s) > 0, s).otherwise(fallback)))
 
     return let(marked, build).cast(SECTIONS_DDL)
 

@@ -10,7 +10,7 @@ from .text import (
 _PHRASE = "(?U)(?:" + "|".join(vocab.SKILL_LEAD_INS) + r")\s+([a-z0-9+/#\-\s]{3,60})"
 
 
-def skills_in(padded, tags=None, limit=20):
+def skills_in(padded, tags=None, limit=None):
     """Skills of prepared text with a blank at both ends."""
     known = F.array_compact(F.array(*[
         F.when(contains_any(padded, aliases), F.lit(name)) for name, aliases in vocab.SKILLS
@@ -24,10 +24,11 @@ def skills_in(padded, tags=None, limit=20):
         lambda p: F.size(F.split(p, " ")).between(2, 4))
     extra = phrases if tags is None else F.concat(normalize_tags(tags), phrases)
     # Known names are clean and distinct already.
-    return F.slice(F.array_union(known, normalize_tags(extra)), 1, limit)
+    found = F.array_union(known, normalize_tags(extra))
+    return found if limit is None else F.slice(found, 1, limit)
 
 
-def extract_skills(title, company=None, description=None, tags=None, limit=20):
+def extract_skills(title, company=None, description=None, tags=None, limit=None):
     """Known skills in vocabulary order, then given tags, then phrases after a lead-in."""
     words = [text_or_empty(c) for c in (title, company, description) if c is not None]
     padded = F.concat(F.lit(" "), F.lower(clean_html(F.concat_ws(" ", *words))), F.lit(" "))

@@ -39,7 +39,7 @@ def page_links(pages, patterns=None):
 
 def next_pages(pages):
     """Pages with their ``next_url``: the first link, by selector order, that says next or older."""
-    wanted = F.lower("html").rlike("next|older")
+    wanted = F.coalesce(F.lower("html").rlike("next|older"), F.lit(False))
     with_word = dom.with_nodes(pages.filter(wanted))
 
     def says_next(node):
@@ -54,14 +54,14 @@ def next_pages(pages):
     return found.unionByName(rest)
 
 
-def crawl_frontier(pages, visited, page_param=None, max_pages=vocab.MAX_RESULT_PAGES):
+def crawl_frontier(pages, visited, page_param=None, max_pages=None):
     """Result pages to fetch next: (start_url, url, page_number).
 
     ``pages`` are the pages just read (start_url, url, page_number, html); without a next link the
     numbered form of the start address is tried.  Addresses already visited from the same start
-    and pages beyond the limit are left out.
+    and, where ``max_pages`` is given, pages beyond it are left out.
     """
-    following = next_pages(pages.filter(_c("page_number") < max_pages))
+    following = next_pages(pages if max_pages is None else pages.filter(_c("page_number") < max_pages))
     target = _c("next_url")
     if page_param:
         target = F.coalesce(target, urls.paged_url(_c("start_url"), _c("page_number") + 1, page_param))

@@ -354,7 +354,8 @@ def merge_canonical(postings, strict_ids=False):
         pairs = pairs.filter(~_c("sig").startswith("source-id:") | F.regexp_extract("sig", "([^:]*)$", 1).rlike("[0-9]"))
     comp = connected_components(pairs).withColumnRenamed("t", "arrival")
     # Precedence: score first, then arrival.
-    order = (F.lit(22) - scoring.completeness()).cast("bigint") * F.lit(1 << 50) + _c("arrival")
+    order = ((F.lit(22) - scoring.completeness()).cast("decimal(3,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)")
+             + _c("arrival").cast("decimal(20,0)"))
     members = postings.join(comp, "arrival", "left").withColumns({
         "rec": F.coalesce("comp", "arrival"), "t": order, "top": F.lit(False)})
     return _assemble(members)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from .. import vocab
 from ..operators import crawl
 from ..sources import boards, dom, feeds, jsonld
 from .registry import query, spread
@@ -219,7 +220,7 @@ def crawl_frontier(spark, sf_dir):
         F.concat(F.lit("<html><body><p>"), F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)", 1), "(?i)next|older", ""),
                  F.lit("</p>"), nav, F.lit("</body></html>")).alias("html"))
     visited = pages.filter(k % 7 == 0).select("start_url", F.concat(F.lit("https://b.example/list/"), s).alias("url"))
-    return crawl.crawl_frontier(pages.drop("page_id"), visited, page_param="page")
+    return crawl.crawl_frontier(pages.drop("page_id"), visited, page_param="page", max_pages=vocab.MAX_RESULT_PAGES)
 
 
 # ---- job boards: listing and detail pages written from the documents

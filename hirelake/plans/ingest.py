@@ -11,10 +11,10 @@ from ..sources import boards, registry, store
 _c = F.col
 
 
-def prepare(raw, as_of, per_source=vocab.MAX_PER_SOURCE):
-    """Raw rows to the postings of one run: noise out, normalised, first per id on boards, capped.
+def prepare(raw, as_of, per_source=None):
+    """Raw rows to the postings of one run: noise out, normalised, first per id on boards.
 
-    ``per_source=None`` keeps every posting.
+    ``per_source`` keeps only the first postings of each source; every posting stays without it.
     """
     postings = normalise(noise_filter(raw), as_of)
     on_board = _c("source").isin(*boards.BOARDS)
@@ -31,7 +31,7 @@ def in_run_order(postings, sources=None):
     return with_rank(postings.orderBy(order, "arrival").drop("arrival"), "arrival")
 
 
-def run_ingest(spark, landed, root, name, as_of, sources=None, detail_pages=None, per_source=vocab.MAX_PER_SOURCE):
+def run_ingest(spark, landed, root, name, as_of, sources=None, detail_pages=None, per_source=None):
     """Merge one run into the table at ``root`` and write snapshot ``name``.
 
     Returns the report: source, collected, inserted, updated, deduplicated, errors (messages per

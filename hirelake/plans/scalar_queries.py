@@ -320,7 +320,7 @@ def structure_description(spark, sf_dir):
         F.lit("<h3>Qualifications: </h3>"),
         F.when(_c("doc_id") % 2 == 0, F.concat(F.lit("5 years of "), "source", F.lit("<br>* must "), "lang")).otherwise(""),
         F.lit("<h3>benefits</h3><ul>"), F.when(_c("doc_id") % 30 > 0, perks).otherwise(""), F.lit("</ul>"))
-    return docs.select("doc_id", sections.render_sections(sections.structure_description(html)).alias("sections"))
+    return docs.select("doc_id", sections.render_sections(sections.structure_description(html, items=20, sentences=8)).alias("sections"))
 
 
 @query("noise_filter", with_views(f"""

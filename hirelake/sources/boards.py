@@ -2,13 +2,14 @@
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import dates, skills, text, urls
 from ..functions.classify import job_type
 from ..operators.normalise import looks_like_job, merge_lists, merge_values
-from ..operators.ordering import top_n_per_key
+from ..operators.ordering import unique_first
 from ..schema import RAW_SCHEMA, conform
 from ..session import stage_boundary
 from . import dom, jsonld
@@ -69,7 +70,7 @@ def brightermonday_fields(title, lines, page, as_of):
     return {
         "company": company,
         "location": F.when(place.startswith("Remote"), F.lit("Remote")).otherwise(F.coalesce(place, F.lit("Kenya"))),
-        "description": F.array_join(F.slice(body, 1, 8), " "),
+        "description": F.array_join(body, " "),
         "job_type": _type_of_lines(lines),
         "salary_text": F.trim(_match(F.array_join(lines, " "), _PAY_A)),
         "posted_ts": line_date(lines, as_of),
@@ -79,7 +80,7 @@ def brightermonday_fields(title, lines, page, as_of):
 
 def corporatestaffing_fields(title, lines, page, as_of):
     body = F.filter(lines, lambda x: (x != title) & (x != "Page navigation"))
-    description = F.substring(F.array_join(F.slice(body, 1, 8), " "), 1, 1600)
+    description = F.array_join(body, " ")
     both = F.lower(F.concat_ws(" ", title, description))
     place = F.when(F.lit(False), F.lit(""))
     for name in _PLACES_B:
@@ -181,7 +182,7 @@ def fuzu_meta(page_text):
         "location": F.when(city.isNotNull(), F.concat(city, F.lit(", "), country)),
         "experience_level": _match(page_text, r"(?iU)\b(Entry-level|Entry and Basic-level|Mid-level|Senior-level)\b"),
         "description": body, "description_html": body,
-        "skills": F.when(F.size(words) > 0, F.slice(words, 1, 8)),
+        "skills": F.when(F.size(words) > 0, words),
     }
 
 
@@ -276,15 +277,19 @@ def extract_details(pages, board):
     return rows.select("url", own.alias("own"), meta.alias("meta"))
 
 
-def enrich_listings(listings, details, board, per_page=vocab.MAX_DETAILS_PER_PAGE):
+def enrich_listings(listings, details, board, per_page=None):
     """Listings joined with their detail pages.
 
-    The first ``per_page`` listings of a result page are looked up.  Values of the listing come
+    With ``per_page`` only the first listings of a result page are looked up; all stay.  Values of the listing come
     first, then the page's own, then its metadata; list fields are united.  Listings without a
     detail page stay as they are and carry a message in ``degraded``.
     """
-    capped = top_n_per_key(listings, ["seq", "page_url"], "pos", per_page)
-    joined = capped.join(details.withColumnRenamed("url", "job_url"), "job_url", "left")
+    wanted = listings.withColumn("_look", F.lit(True) if per_page is None else F.row_number().over(
+        Window.partitionBy("seq", "page_url").orderBy("pos")) <= per_page)
+    # Each address has one detail page, however often it was read.
+    pages = unique_first(details.withColumn("_order", F.xxhash64("own")), "url", "_order").withColumnsRenamed(
+        {"url": "_url"}).drop("_order")
+    joined = wanted.join(pages, _c("_look") & (_c("job_url") == _c("_url")), "left")
     found = _c("own").isNotNull()
     own, meta = set(detail_fields(board)), set() if board.meta is None else set(board.meta(F.lit("")))
     out = {}

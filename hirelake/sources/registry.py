@@ -31,9 +31,16 @@ def collect_raw(landed, as_of, sources=None, detail_pages=None):
 
     ``landed``: source, seq, origin, body.  Boards read their result pages from ``landed`` and
     their detail pages from ``detail_pages`` (url, html); a source that yields nothing is no error.
+    Landed texts of a source without adapter are reported, one message per source.
     """
-    wanted = [s for s in vocab.SOURCES if not sources or s in sources]
-    rows, errors = [], []
+    known = [*vocab.SOURCES, *(s for s in ADAPTERS if s not in vocab.SOURCES)]
+    wanted = [s for s in known if not sources or s in sources]
+    other = landed.filter(~F.coalesce(_c("source").isin(*known), F.lit(False)))
+    if sources:
+        other = other.filter(_c("source").isin(*sources))
+    rows = []
+    errors = [other.groupBy("source").agg(F.concat(
+        F.lit("no adapter for this source: "), F.count(F.lit(1)).cast("string"), F.lit(" texts")).alias("message"))]
     for source in wanted:
         part = landed.filter(_c("source") == source).drop("source")
         if source in boards.BOARDS and source not in ADAPTERS:
@@ -51,6 +58,4 @@ def collect_raw(landed, as_of, sources=None, detail_pages=None):
                 errors.append(feeds.feed_errors(part, source, _JSON_FEEDS[source]))
         rows.append(raw)
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
-    if not errors:
-        errors = [landed.filter(F.lit(False)).select("source", _c("body").alias("message"))]
     return union(rows), union(errors)

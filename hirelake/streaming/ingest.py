@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..operators.normalise import noise_filter, normalise
 from ..operators.ordering import with_rank
+from ..plans.ingest import prepare
 from ..sources import store
 
 
@@ -15,7 +15,7 @@ def merge_batch(batch, batch_id, root, as_of):
     name = f"{batch_id:012d}"
     earlier = [s for s in store.snapshots(spark, root) if s < name]
     existing = store.read_postings(spark, root, earlier[-1]) if earlier else None
-    rows = normalise(noise_filter(batch), as_of)
+    rows = prepare(batch, as_of)
     incoming = with_rank(rows.orderBy("arrival").withColumnRenamed("arrival", "_at"), "arrival").drop("_at")
     done = merge.merge_postings(incoming, existing, materialise=False)
     store.write_postings(done.postings, root, name)

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from ..session import scratch_path
 from .common import byte_lengths, pack_ints, portions, small_batches, spans, unpack_ints
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BUCKETS = 256
 GROUP = 4096
 #: Letters of one word of the tokenizer, then at most one mark that is a word of its own.
@@ -94,6 +94,8 @@ def _to_blocks(id_type):
                     out.append((block, b, None, None, squeeze(b" ".join([found[i] for i in mine])), None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(schema)], schema=schema)
+            del rows, texts, split, flat, keep, coded, found, order, out
+            pa.default_memory_pool().release_unused()
 
     return run
 
@@ -173,6 +175,8 @@ def _put_back(id_type, pieces):
                         [pa.array(row["doc_ids"][a:b], id_type), *_documents(codes[upto[a]:upto[b]], counts[a:b], lens, starts, pool, shown)],
                         schema=schema)
                     a = b
+                del row, of_bucket, order, codes, got, lens, starts, pool
+                pa.default_memory_pool().release_unused()
 
     return run
 

@@ -113,6 +113,8 @@ def _features(id_type):
                 pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array([None if x is None else band_keys(x) for x in lows], schema.field("bands").type),
                 pa.array([None if x is None else x[:CHECKED].astype("<u2").tobytes() for x in lows], pa.binary())], schema=schema)
+            del rows, sets, lows
+            pa.default_memory_pool().release_unused()
 
     return run
 

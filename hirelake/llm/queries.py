@@ -6,7 +6,7 @@ from . import bpe
 from . import chat_windows as chat
 from . import html_mincut, language_models, minhash_dedup, packing
 from . import quality_rules as rules
-from . import quality_vote, topk_search
+from . import quality_vote, topk_search, warc_revisits
 from .common import fold, table
 
 QUERIES = {}
@@ -87,3 +87,10 @@ def op9(spark, sf_dir):
 @query("op7_minhash_dedup")
 def op7(spark, sf_dir):
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_warc_revisits", warc_revisits.SQL)
+def op6(spark, sf_dir):
+    found = warc_revisits.resolve_revisits(warc_revisits.records_of(table(spark, sf_dir, "pages")))
+    shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+    return found.select("record_id", "origin_id", "state", shown.alias("headers"))

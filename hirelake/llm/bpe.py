@@ -31,8 +31,8 @@ from .common import byte_lengths, pack_ints, portions, small_batches, spans, unp
 BLOCK_BYTES = 8 << 20
 BUCKETS = 256
 GROUP = 4096
-#: Letters of one word of the tokenizer, then at most one mark that is a word of its own.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([,.]?)")
+#: Letters of one word of the tokenizer, then a run of marks, which is a word of its own.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!#$%&*,.:;?]*)")
 
 CHUNK_WORDS = 1 << 18
 
@@ -80,21 +80,22 @@ def _to_blocks(id_type):
             upto = np.concatenate([[0], np.cumsum(keep.to_numpy(zero_copy_only=False))])
             counts = np.diff(upto[offsets - offsets[0]]).astype(np.int32)
             coded = flat.filter(keep).dictionary_encode()
-            found = [w.encode() for w in coded.dictionary.to_pylist()]
-            home = np.array([zlib.crc32(w) % BUCKETS for w in found], dtype=np.int32)
-            order = sorted(range(len(found)), key=lambda i: (home[i], found[i]))
-            ends = np.searchsorted(home[order], np.arange(BUCKETS + 1)) if found else np.zeros(BUCKETS + 1, int)
+            by_name = pc.sort_indices(coded.dictionary).to_numpy()
+            found = coded.dictionary.take(pa.array(by_name)).cast(pa.large_binary()).to_pylist()
+            home = np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found)) % BUCKETS
+            by_home = np.argsort(home, kind="stable")
+            order, found = by_name[by_home], [found[i] for i in by_home.tolist()]
+            ends = np.searchsorted(home[by_home], np.arange(BUCKETS + 1))
             block = (part << 24) + n
             n += 1
             out = [(block, -1, rows.column("id").to_pylist(), counts,
-                    pack_ints(coded.indices.to_numpy()), pack_ints(np.array(order, dtype=np.uint32)))]
+                    pack_ints(coded.indices.to_numpy()), pack_ints(order))]
             for b in range(BUCKETS):
-                mine = order[ends[b]:ends[b + 1]]
-                if mine:
-                    out.append((block, b, None, None, squeeze(b" ".join([found[i] for i in mine])), None))
+                if mine := found[ends[b]:ends[b + 1]]:
+                    out.append((block, b, None, None, squeeze(b" ".join(mine)), None))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(schema)], schema=schema)
-            del rows, texts, split, flat, keep, coded, found, order, out
+            del rows, texts, split, flat, keep, coded, found, order, by_name, home, by_home, out
             pa.default_memory_pool().release_unused()
 
     return run
@@ -120,8 +121,9 @@ def _encode_words(vocabulary):
                 if of[-1] == len(part) - 1:  # each was one word of the tokenizer
                     cut = np.searchsorted(of, np.arange(len(part) + 1))
                     known.update((w, ids[cut[j]:cut[j + 1]].tobytes()) for j, w in enumerate(part))
-            for w in some - known.keys():
-                known[w] = np.array(tok.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            rest = list(some - known.keys())
+            for w, got in zip(rest, tok.encode_batch_fast(rest, add_special_tokens=False)):
+                known[w] = np.array(got.ids, dtype="<u4").tobytes()
 
         for batch in batches:
             out = []

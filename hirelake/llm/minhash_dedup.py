@@ -5,7 +5,9 @@
 2. Representatives that share a band key are candidates.  While the buckets hold more pairs than rows and
    that helps, each bucket names one pivot, only pairs with the pivot are verified, and what proves linked
    is merged, so a group of near copies never becomes all of its pairs.  Pairs inside one component need no
-   test any more; the pairs that are left, between different components, are all verified.
+   test any more; the pairs that are left, between different components, are all verified.  Where a bucket
+   still holds many, as texts around one common passage do, only those are pairs that share one of their
+   rarest shingles; no pair at the threshold can lack that.
 3. The signatures of a pair are compared batch by batch.  With a uniform prior the similarity has a
    beta posterior; a pair is dropped once its chance to reach the threshold is below ``MISS``.
 4. Survivors are confirmed on their full sets: 100 * intersection >= 75 * union.
@@ -177,6 +179,18 @@ def _confirm(batches):
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
+def _listed(batches):
+    """Sets as bytes to lists of numbers, with their sizes."""
+    import pyarrow as pa
+
+    for batch in batches:
+        data = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+        n = np.array([len(x) for x in data], dtype=np.int64)
+        flat = np.concatenate(data) if data else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n), lists], names=["rep", "n", "shingles"])
+
+
 def _with_both(pairs, side, value, out):
     """Adds ``value`` of both ends of every pair."""
     for end in ("a", "b"):
@@ -192,10 +206,14 @@ class _Verifier:
         self.pair = T.StructType([T.StructField(c, kind) for c in ("a", "b")])
 
     def links(self, pairs):
+        alive = stored(_with_both(pairs, self.reps, "sig", "sig").mapInArrow(_prune, self.pair))
+        sets = self.sets_of(alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct())
+        return stored(_with_both(alive, sets, "shingles", "set").mapInArrow(_confirm, self.pair))
+
+    def sets_of(self, ends):
+        """The shingle sets of some representatives."""
         from pyspark.sql.pandas.types import to_arrow_type
 
-        alive = stored(_with_both(pairs, self.reps, "sig", "sig").mapInArrow(_prune, self.pair))
-        ends = alive.select(F.col("a").alias("rep")).union(alive.select(F.col("b").alias("rep"))).distinct()
         ends = stored(ends.join(self.reps.select("rep", "digest"), "rep").withColumnsRenamed({"rep": "doc_id", "digest": "_wanted"}))
         n = ends.count()
         schema = T.StructType([T.StructField("rep", self.kind), T.StructField("digest", T.BinaryType()),
@@ -205,7 +223,34 @@ class _Verifier:
         sets = stored(wanted.mapInArrow(_sets(to_arrow_type(self.kind)), schema).filter("digest = _wanted").select("rep", "shingles"))
         if sets.count() > n:
             sets = sets.dropDuplicates(["rep"])
-        return stored(_with_both(alive, sets, "shingles", "set").mapInArrow(_confirm, self.pair))
+        return sets
+
+    def rare_pairs(self, rows):
+        """(rep, other) of bucket rows of different components that share one of their rarest shingles.
+
+        Two sets at the threshold t share at least 2t/(1+t) of the smaller set and t of the larger one, so in
+        any one order of all shingles the first that both have stands so early in each that the rest can
+        still make up that share.  The order is by number of sets, which puts those first that no other set
+        has; they are counted, not carried.  A pair is made where its first common shingle leaves enough of
+        both sets.
+        """
+        members = stored(rows.select("rep", "root").distinct())
+        schema = T.StructType([T.StructField("rep", self.kind), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+        each = self.sets_of(members.select("rep")).mapInArrow(_listed, schema).select("rep", "n", F.explode("shingles").alias("shingle"))
+        common = stored(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"))
+        met = join_side(each, common, "shingle", common.count(), ["rep"], "inner").groupBy("rep").agg(
+            F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("sets", "shingle"))).alias("met"))
+        met = stored(met.join(members, "rep").withColumn("c", F.size("met").cast("long")))
+
+        def first(share, of):
+            """Shingles up to which a set still holds ``share / of`` of its size."""
+            return F.posexplode(F.expr(f"slice(met.shingle, 1, cast(greatest(0, c - ({share} * n + {of - 1}) DIV {of} + 1) AS int))")).alias("at", "shingle")
+
+        small = met.select("rep", "root", "n", "c", first(2 * PERCENT, 100 + PERCENT))
+        large = met.select(*[F.col(c).alias(f"{c}_2") for c in ("rep", "root", "n", "c")], first(PERCENT, 100)).withColumnRenamed("at", "at_2")
+        enough = (100 + PERCENT) * F.least(F.col("c") - F.col("at"), F.col("c_2") - F.col("at_2")) >= PERCENT * (F.col("n") + F.col("n_2"))
+        return small.join(large, "shingle").filter(
+            enough & F.expr("root <> root_2 AND (n < n_2 OR n = n_2 AND rep < rep_2)")).select("rep", F.col("rep_2").alias("other"))
 
 
 def components(links, rounds=64):
@@ -268,7 +313,13 @@ def near_links(docs, reps, kind):
             break
         every = turn == PIVOT_ROUNDS or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or total["pairs"] > before / 4
         before = total["pairs"]
-        if every:
+        if every and total["pairs"] > PAIRS_PER_ROW * total["rows"]:
+            thick = stored(sizes.filter(F.col("pairs") > PAIRS_PER_ROW * F.col("m")).select("key"))
+            thin = rows.join(thick, "key", "left_anti")
+            other = thin.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
+            pairs = thin.join(other, "key").filter("rep < other AND root <> other_root").select("rep", "other").unionByName(
+                check.rare_pairs(rows.join(thick, "key", "left_semi")))
+        elif every:
             other = rows.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
             pairs = rows.join(other, "key").filter("rep < other AND root <> other_root")
         else:

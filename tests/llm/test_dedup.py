@@ -103,3 +103,18 @@ def test_components(spark):
             root[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in m.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for a, b in edges for x in (a, b) if a != b}
+
+
+def test_thick_buckets(spark, monkeypatch):
+    """Edited copies of one text, many of them far from each other, some shortened: rare shingles name the pairs."""
+    rnd = random.Random(9)
+    base = [f"b{rnd.randrange(300)}" for _ in range(150)]
+    docs = {}
+    for k in range(400):
+        w = list(base)
+        for _ in range(rnd.randint(0, 9)):
+            w[rnd.randrange(len(w))] = f"e{rnd.randrange(1000)}"
+        docs[k] = " ".join(w[rnd.choice([0, 0, 0, 12, 25]):])
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    monkeypatch.setattr(m, "PIVOT_ROUNDS", 0)
+    compare(m.near_duplicates(df).collect(), docs)

@@ -38,6 +38,8 @@ CHECKED, STEP = 128, 32
 MISS = 1e-6
 BATCH_BYTES = 4 << 20
 PAIRS_PER_ROW = 1
+#: Pairs per row from which a bucket is thick: its pairs are named by rare shingles instead.
+THICK = 16
 PIVOT_ROUNDS = 6
 
 _rng = np.random.default_rng(20)
@@ -183,12 +185,13 @@ def _listed(batches):
     """Sets as bytes to lists of numbers, with their sizes."""
     import pyarrow as pa
 
-    for batch in batches:
-        data = [np.frombuffer(x, np.int64) for x in batch.column("shingles").to_pylist()]
+    for rows in portions(batches, lambda b: byte_lengths(b.column("shingles")), BATCH_BYTES):
+        data = [np.frombuffer(x, np.int64) for x in rows.column("shingles").to_pylist()]
         n = np.array([len(x) for x in data], dtype=np.int64)
-        flat = np.concatenate(data) if data else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(n), lists], names=["rep", "n", "shingles"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(data)))
+        yield pa.RecordBatch.from_arrays([rows.column("rep").combine_chunks(), pa.array(n), lists], names=["rep", "n", "shingles"])
+        del rows, data, lists
+        pa.default_memory_pool().release_unused()
 
 
 def _with_both(pairs, side, value, out):
@@ -314,7 +317,7 @@ def near_links(docs, reps, kind):
         every = turn == PIVOT_ROUNDS or total["pairs"] <= PAIRS_PER_ROW * total["rows"] or total["pairs"] > before / 4
         before = total["pairs"]
         if every and total["pairs"] > PAIRS_PER_ROW * total["rows"]:
-            thick = stored(sizes.filter(F.col("pairs") > PAIRS_PER_ROW * F.col("m")).select("key"))
+            thick = stored(sizes.filter(F.col("pairs") > THICK * F.col("m")).select("key"))
             thin = rows.join(thick, "key", "left_anti")
             other = thin.select("key", F.col("rep").alias("other"), F.col("root").alias("other_root"))
             pairs = thin.join(other, "key").filter("rep < other AND root <> other_root").select("rep", "other").unionByName(

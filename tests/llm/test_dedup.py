@@ -67,6 +67,7 @@ def test_planted(spark, monkeypatch):
     df = spark.createDataFrame([(k, t, 1) for k, t in docs.items()], "doc_id long, text string, root int")
     compare(m.near_duplicates(df).collect(), docs)
     monkeypatch.setattr(m, "PAIRS_PER_ROW", 0)  # pivots first, whatever the size
+    monkeypatch.setattr(m, "THICK", 0)
     monkeypatch.setattr(m, "PIVOT_ROUNDS", 2)
     compare(m.near_duplicates(df).collect(), docs)
     kept = m.keep_first(df)

@@ -39,7 +39,7 @@ MISS = 1e-6
 BATCH_BYTES = 4 << 20
 PAIRS_PER_ROW = 1
 #: Pairs per row from which a bucket is thick: its pairs are named by rare shingles instead.
-THICK = 16
+THICK = 4
 PIVOT_ROUNDS = 6
 
 _rng = np.random.default_rng(20)

@@ -7,10 +7,15 @@ tied by smoothness edges that weaken with their distance in the document tree.
 labels all blocks of the page at once.  Blocks whose own cost outweighs all their edges keep their
 label in every minimum cut and are settled first; max-flow decides the rest.
 
+Names that are bad only in part (``search-page``), names of layouts and forms may stand on the wrapper
+of a whole page.  Such a mark is void where the element holds the page: where less than a quarter of
+its own text is found outside all bad elements.  ``<main>`` ends the marks around it.
+
 Spark deals the pages; a page is worked on whole inside one task, and nothing else is held.
 
 Defined results: NULL or empty html: empty text.  Broken markup is read leniently: unclosed and stray
-tags, unquoted attributes, a missing end of a comment or script (which then takes the rest).  Text
+tags, unquoted attributes, a missing end of a comment or script (which then takes the rest), a head
+without end tag (which ends at the first tag or text that cannot be in it).  Text
 outside any tag counts as a block.  Repeated rows and ids are separate, NULL ids and urls pass.  Very
 long pages are read whole.  No rows: no rows.  Extra columns are not read.
 """
@@ -41,9 +46,13 @@ CLOSES = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
     "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th"),
 }
+#: Elements that may stand in a head; any other ends it.
+HEAD_CONTENT = frozenset("base basefont bgsound link meta noframes noscript script style template title head".split())
 _SCOPES = frozenset("ul ol dl table select body html article section main div td th".split())
 
-BAD_TAGS = frozenset("nav footer aside form menu dialog search fieldset label input".split())
+BAD_TAGS = frozenset("nav footer aside menu dialog search label input".split())
+#: Elements and roles that are bad unless the page stands in them.
+WEAK_TAGS, WEAK_ROLES = frozenset(("form", "fieldset")), frozenset(("form", "search"))
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar note".split())
 _BAD = re.compile(
     r"^(ad|ads|adv|advert\w*|adsense|adbox|adslot|banner\w*|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|"
@@ -51,6 +60,10 @@ _BAD = re.compile(
     r"newsletter|notice|notices|notification|alert|outbrain|overlay|pager|pagination|paywall|popup|privacy|promo\w*|"
     r"recommend\w*|related|replies|reply|respond|rail|search|share|sharing|sidebar|signup|site|skip|social|sponsor\w*|"
     r"subscribe|subscription|taboola|tags|teaser|toolbar|topbar|toc|tracking|widgets?|warning|feedback|hidden)$")
+#: Bad words that also name layouts, and words after which a name tells what else the page has.
+_WEAK = frozenset("site search share sharing rail sidebar skip".split())
+_STATE = frozenset("with has no without".split())
+_WRAPPER = re.compile(r"^(wrap\w*|container|layout|inner|outer|root|app|grid|row)$")
 _GOOD = re.compile(r"^(article\w*|body|content|entry|main|post|story|text|page)$")
 _TOKEN = re.compile(r"[A-Za-z]+")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -62,30 +75,65 @@ BIAS, OUTSIDE, LENGTH, LINKS, GOOD, BAD, HEADING, PUNCTUATION = 0.3, -3.0, 0.7,
 SMOOTH = 0.8
 
 
-def _node(parent, tag, attributes):
-    """What an open element says about the text inside it: (tag, id, depth, good, bad, dropped, parent)."""
-    good, bad, dropped = parent[3], parent[4], parent[5] or tag in DROPPED
+#: How sure a bad mark is: by its name in full, by a part of it, by a word that also names layouts.
+FULL, PART, WEAK = 3, 2, 1
+
+
+def _name_mark(name):
+    """How bad a class name or id is: 0, ``WEAK``, ``PART`` or ``FULL``."""
+    parts = [t.lower() for t in _TOKEN.findall(name)]
+    at = next((i for i, t in enumerate(parts) if t in _STATE), len(parts))
+    parts = parts[:at]
+    if "site" in parts:
+        parts.remove("site")
+        if parts and not any(_BAD.match(t) or _GOOD.match(t) or _WRAPPER.match(t) for t in parts):
+            return WEAK
+    bad = [t for t in parts if _BAD.match(t)]
+    if not bad:
+        return 0
+    if all(t in _WEAK for t in bad):
+        return WEAK
+    return FULL if len(bad) == len(parts) else PART
+
+
+def _node(parent, tag, attributes, n):
+    """What an open element says about the text inside it.
+
+    (tag, id, depth, good, bad, dropped, in article, in marked content, mark): ``bad`` is sure, ``mark``
+    is the nearest mark that may be void: (id, kind, mark around it) or None.
+    """
+    good, bad, dropped, core, mark = parent[3], parent[4], parent[5] or tag in DROPPED, parent[7], parent[8]
     in_article = parent[6] or tag == "article"
+    own = WEAK if tag in WEAK_TAGS else 0
     if tag in ("article", "main"):
-        good = True
+        good = core = True
+    if tag == "main":
+        mark = None
     if tag in BAD_TAGS or (tag == "header" and not in_article):
         bad = True
     if attributes:
         found = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)}
-        names = {t.lower() for t in _TOKEN.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+        names = f"{found.get('class', '')} {found.get('id', '')}".split()
+        parts = {t.lower() for x in names for t in _TOKEN.findall(x)}
         role = found.get("role", "").lower()
-        if role in BAD_ROLES:
+        if role in WEAK_ROLES:
+            own = max(own, WEAK)
+        elif role in BAD_ROLES:
             bad = True
         if role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody":
-            good = True
-        wide = tag in ("html", "body", "main", "article")
-        if any(_BAD.match(t) for t in names if not wide or t.startswith(("comment", "repl"))):
+            good = core = True
+        if role == "main":
+            mark = None
+        if any(_BAD.match(t) and t.startswith(("comment", "repl")) for t in parts):
             bad = True
-        if any(_GOOD.match(t) for t in names) and tag != "body":
+        if tag not in ("html", "body", "main", "article"):
+            own = max([own, *map(_name_mark, names)])
+        if any(_GOOD.match(t) for t in parts) and tag != "body":
             good = True
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
-            dropped = True
-    return good, bad, dropped, in_article
+            # A whole page is hidden only until its scripts have run.
+            dropped = dropped or tag not in ("html", "body")
+    return tag, n, parent[2] + 1, good, bad, dropped, in_article, core, (n, own, mark) if own else mark
 
 
 class _Page:
@@ -93,10 +141,12 @@ class _Page:
 
     def __init__(self):
         self.n = 0
-        self.stack = [("", 0, 0, False, False, False, False)]
+        self.stack = [("", 0, 0, False, False, False, False, False, None)]
         self.blocks, self.text, self.linked, self.links = [], [], 0, 0
 
     def add(self, text):
+        if self.stack[-1][0] == "head" and text.strip():
+            self.pop_to(len(self.stack) - 1)
         if text and not self.stack[-1][5]:
             self.text.append(text)
             if self.links:
@@ -111,6 +161,10 @@ class _Page:
             self.text, self.linked = [], 0
 
     def open(self, tag, attributes):
+        if tag == "body":
+            self.end_dropped()
+        elif self.stack[-1][0] == "head" and tag not in HEAD_CONTENT:
+            self.pop_to(len(self.stack) - 1)
         if tag in BLOCKS:
             self.cut()
             if tag not in ("head", "title", "option", "optgroup", "legend"):
@@ -120,11 +174,15 @@ class _Page:
         if tag in VOID:
             return
         self.n += 1
-        top = self.stack[-1]
-        good, bad, dropped, in_article = _node(top, tag, attributes)
-        self.stack.append((tag, self.n, len(self.stack), good, bad, dropped, in_article))
+        self.stack.append(_node(self.stack[-1], tag, attributes, self.n))
         self.links += tag == "a"
 
+    def end_dropped(self):
+        """A body ends the elements before it whose content is no text."""
+        i = next((i for i, e in enumerate(self.stack) if e[5]), None)
+        if i is not None:
+            self.pop_to(i)
+
     def close_implied(self, tags, stop):
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in tags:
@@ -151,7 +209,7 @@ class _Page:
 
 
 def page_blocks(source):
-    """Blocks in page order."""
+    """Blocks in page order: text, characters in links, path, whether they stand in a bad element."""
     page, at, size = _Page(), 0, len(source)
     while at < size:
         m = _TAG.search(source, at)
@@ -181,25 +239,64 @@ def page_blocks(source):
                 page.add(source[at:end.start() if end else size])
             at = end.start() if end else size
     page.cut()
-    return page.blocks
+    return [(*block, bad) for block, bad in zip(page.blocks, _bad_blocks(page.blocks))]
+
+
+def _bad_blocks(blocks):
+    """Whether each block is bad, after marks on wrappers of the page are found void.
+
+    The marks are gone through from the one with most text on, outer ones first; the text of a void
+    mark is free for the smaller ones, so that a side column never counts as the page.
+    """
+    kinds, under, held, core_held = {}, {}, {}, {}
+    live, free, core_free = [0] * len(blocks), 0, 0
+    sizes = [len(text) - linked for text, linked, _ in blocks]
+    for i, (_, _, path) in enumerate(blocks):
+        top = path[-1]
+        if top[4]:
+            continue
+        mark = top[8]
+        if mark is None:
+            free += sizes[i]
+            core_free += sizes[i] * top[7]
+        while mark is not None:
+            n, kind, mark = mark
+            kinds[n] = kind
+            under.setdefault(n, []).append(i)
+            held[n] = held.get(n, 0) + sizes[i]
+            core_held[n] = core_held.get(n, 0) + sizes[i] * top[7]
+            live[i] += 1
+    has_core = any(core_held.values()) or core_free > 0
+    for n in sorted(kinds, key=lambda n: (-held[n], n)):
+        if kinds[n] == FULL and not core_held[n]:
+            continue
+        inside, outside = (core_held[n], core_free) if kinds[n] == WEAK and has_core else (held[n], free)
+        if 4 * outside >= inside:
+            continue
+        for i in under[n]:
+            live[i] -= 1
+            if not live[i]:
+                free += sizes[i]
+                core_free += sizes[i] * blocks[i][2][-1][7]
+    return [path[-1][4] or live[i] > 0 for i, (_, _, path) in enumerate(blocks)]
 
 
 def content_score(block, marked=False):
     """Log-odds that a block is content; ``marked`` tells that the page marks its content."""
-    text, linked, path = block
+    text, linked, path, bad = block
     top = path[-1]
     z = BIAS + LENGTH * math.log1p(len(text) / 20) + LINKS * linked / len(text)
     if re.search(r"[.!?]['\"”»)]?$", text):
         z += PUNCTUATION
     if top[0] in ("h1", "h2", "h3", "h4", "h5", "h6"):
         z += HEADING
-    return z + (GOOD if top[3] else OUTSIDE * marked) + BAD * top[4]
+    return z + (GOOD if top[3] else OUTSIDE * marked) + BAD * bad
 
 
 def edges(blocks):
     """Smoothness edges (i, j, weight): following blocks, and neighbours under one parent."""
     out, last = [], {}
-    for j, (_, _, path) in enumerate(blocks):
+    for j, (_, _, path, _) in enumerate(blocks):
         parent = path[-2][1] if len(path) > 1 else 0
         if j:
             before = blocks[j - 1][2]
@@ -304,7 +401,7 @@ def main_text(source):
     if not source:
         return ""
     blocks = page_blocks(source)
-    marked = any(b[2][-1][3] and not b[2][-1][4] for b in blocks)
+    marked = any(b[2][-1][3] and not b[3] for b in blocks)
     keep = minimum_cut([content_score(b, marked) for b in blocks], edges(blocks))
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 

@@ -24,6 +24,33 @@ def test_pages():
     assert m.main_text("<article><p>Some text here.</p><aside>no</aside><p hidden>no</p><nav>no</nav><p>End.</p></article>") == "Some text here.\nEnd."
 
 
+def test_wrappers_with_bad_names():
+    text = " ".join(f"This is sentence number {i} of the article, and it is of quite ordinary length." for i in range(5))
+    inner = f"<p>{text}</p><p>{text}</p>"
+    wanted = f"{text}\n{text}"
+    notice = '<div class="cookie-notice">We use cookies to improve your experience. Please accept them now.</div>'
+    side = "<p>Other stories that you might like to read in the weekend, and more.</p>"
+    for wrap in ('<div id="page" class="site">%s</div>', '<div class="site-content">%s</div>', '<div class="content-with-sidebar">%s</div>',
+                 '<div class="search-page">%s</div>', '<form action="/" id="aspnetForm">%s</form>', '<div class="no-sidebar">%s</div>',
+                 '<div class="login-layout"><div class="site"><form>%s</form></div></div>', '<div class="header"><main>%s</main></div>'):
+        for body in (inner, f"<article>{inner}</article>"):
+            for page in (body + notice, f'{body}<div class="sidebar">{side}</div><aside>{side}</aside>{notice}'):
+                assert m.main_text("<html><body>" + wrap % page + "</body></html>").startswith(wanted), wrap
+            assert m.main_text("<body>" + wrap % body + notice + f'<div class="sidebar">{side}</div>') == wanted, wrap
+    # The marks stay on elements beside the text, however they nest.
+    cards = f'<div class="related-posts"><article><p>{text[:150]}.</p></article></div>'
+    assert m.main_text(f'<div class="site"><div><p>{text}</p></div>{cards}<div class="site-info">{side}</div></div>') == text
+    comments = f'<div id="comments"><div class="comment-body">{inner}{inner}{inner}</div></div>'
+    assert m.main_text(f'<div class="site"><article>{inner}</article>{comments}</div>') == wanted
+
+
+def test_head_without_end_tag():
+    text = "This text is in the body, and it has enough words to be kept as text."
+    for page in ("<html><head><title>T</title><body><p>%s</p>", "<head><title>T</title><p>%s", "<head><meta x><title>T</title>%s",
+                 "<head><noscript><link x><body><p>%s</p>", '<html><head><title>T</title></head><body style="visibility:hidden"><p>%s</p>'):
+        assert m.main_text(page % text) == text, page
+
+
 def test_broken_and_edge_pages():
     for x in (None, "", "   ", "<", "<p", "<!--", "<script>", "</p></div>", "<p a='<b>", "<a><a><p></a>", "&#x110000; &bogus; &#0;", "<![CDATA[x]]>"):
         assert isinstance(m.main_text(x), str)

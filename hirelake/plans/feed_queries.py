@@ -253,9 +253,9 @@ def board_listings(spark, sf_dir):
                        F.date_format("posted_ts", "yyyy-MM-dd").alias("posted"))
 
 
-def _detail_pages(spark, sf_dir):
-    """Detail page of every second document."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select("doc_id", "source")
+def _detail_pages(spark, sf_dir, every=False):
+    """Detail page of every second document, or of all."""
+    d = table(spark, sf_dir, "documents").filter(F.lit(every) | F.expr("doc_id % 2 = 0")).select("doc_id", "source")
     s = _c("doc_id").cast("string")
     html = F.concat(
         F.lit('<html><head><meta property="og:title" content=" Og "></head><body><main><h1>Page role '), s,
@@ -284,7 +284,17 @@ SELECT 'https://www.board.example/listings/role-' || doc_id AS url, 'Page role '
   'Excel' AS skills, 'Page role ' || doc_id || '~Page company~Excel~Applicant Location: Kisumu~Full Time~Job descriptions & requirements~Do the '
   || source || ' work~Second line~Similar jobs' AS description FROM documents WHERE doc_id % 2 = 0""")
 def html_postings(spark, sf_dir):
-    rows = boards.extract_details(_detail_pages(spark, sf_dir), _BOARD)
+    return _page_postings(_detail_pages(spark, sf_dir))
+
+
+@query("html_postings_whole")
+def html_postings_whole(spark, sf_dir):
+    """``html_postings`` of the pages of all documents."""
+    return _page_postings(_detail_pages(spark, sf_dir, every=True))
+
+
+def _page_postings(pages):
+    rows = boards.extract_details(pages, _BOARD)
     return rows.select("url", "own.title", "own.company", F.array_join("own.skills", "|").alias("skills"),
                        F.replace("own.description", F.lit("\n"), F.lit("~")).alias("description"))
 

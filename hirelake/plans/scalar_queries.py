@@ -55,17 +55,27 @@ _WRAPPED = (
     "'</p><script>var x = \"<b>\";</script><style>p:x</style><svg><path/></svg>&#8226;tail&nbsp;&eacute;&#x41;&copy b</div>'")
 
 
+def _wrapped_docs(spark, sf_dir):
+    return spark.sql(f"SELECT doc_id, text, {_WRAPPED} AS html FROM {{src}}".replace("chr(10)", "'\\n'"),
+                     src=table(spark, sf_dir, "documents"))
+
+
 @query("clean_html", f"""
 SELECT doc_id, trim(regexp_replace(replace({_ws("replace(text, chr(10), ' ')")} || ' • tail éA© b', '•', '•'), ' +', ' ', 'g')) AS clean
 FROM documents WHERE NOT regexp_matches(text, '[<·•&]') UNION ALL
 SELECT doc_id, 'marked' FROM documents WHERE regexp_matches(text, '[<·•&]')""")
 def clean_html(spark, sf_dir):
-    docs = spark.sql(f"SELECT doc_id, text, {_WRAPPED} AS html FROM {{src}}".replace("chr(10)", "'\\n'"),
-                     src=table(spark, sf_dir, "documents"))
+    docs = _wrapped_docs(spark, sf_dir)
     special = _c("text").rlike("[<·•&]")
     return docs.select("doc_id", F.when(special, "marked").otherwise(text.clean_html(_c("html"))).alias("clean"))
 
 
+@query("clean_html_whole")
+def clean_html_whole(spark, sf_dir):
+    """``clean_html`` of every text, those with < & or a bullet too."""
+    return _wrapped_docs(spark, sf_dir).select("doc_id", text.clean_html(_c("html")).alias("clean"))
+
+
 @query("html_text_lines", r"""
 SELECT page_id, CAST(len(h1) AS INT) AS headings, len(body) > 0 AS has_body, h1[1] AS title FROM (
   SELECT page_id, regexp_extract_all(html, '<h1>([^<&]*)', 1) AS h1,
@@ -313,14 +323,26 @@ SELECT doc_id, array_to_string(list_transform(list_filter([('Overview', ov), ('R
     array_to_string(list_transform(generate_series(1, least(doc_id % 30, 20)::INT), lambda i: 'perk no ' || i), '|') AS bn FROM documents)""")
 def structure_description(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
+    html = _description_html(F.substring("text", 1, 300))
+    return docs.select("doc_id", sections.render_sections(sections.structure_description(html, items=20, sentences=8)).alias("sections"))
+
+
+@query("structure_description_whole")
+def structure_description_whole(spark, sf_dir):
+    """``structure_description`` of whole texts, all items kept."""
+    html = _description_html(_c("text"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", sections.render_sections(sections.structure_description(html)).alias("sections"))
+
+
+def _description_html(body):
     perks = F.array_join(F.transform(F.sequence(F.lit(1), (_c("doc_id") % 30).cast("int")), lambda i: F.concat(
         F.lit("<li>perk no "), i.cast("string"), F.lit("</li>"))), "")
-    html = F.concat(
-        F.lit("<p>"), F.replace(F.substring("text", 1, 300), F.lit("\n"), F.lit(" ")), F.lit(".x</p>"),
+    return F.concat(
+        F.lit("<p>"), F.replace(body, F.lit("\n"), F.lit(" ")), F.lit(".x</p>"),
         F.lit("<h3>Qualifications: </h3>"),
         F.when(_c("doc_id") % 2 == 0, F.concat(F.lit("5 years of "), "source", F.lit("<br>* must "), "lang")).otherwise(""),
         F.lit("<h3>benefits</h3><ul>"), F.when(_c("doc_id") % 30 > 0, perks).otherwise(""), F.lit("</ul>"))
-    return docs.select("doc_id", sections.render_sections(sections.structure_description(html, items=20, sentences=8)).alias("sections"))
 
 
 @query("noise_filter", with_views(f"""
@@ -362,8 +384,8 @@ WHERE NOT regexp_matches(lower(text), 'requirements|qualifications|responsibilit
 _DETAIL_TEXT = "CASE form WHEN 0 THEN t || ' ' || resp || ' ' || req WHEN 1 THEN t || ' ' || req || ' ' || resp WHEN 2 THEN t ELSE resp END"
 
 
-def _detail_docs(spark, sf_dir):
-    sql = _DETAIL_SRC.replace("chr(10)", "'\\n'").replace("What you''ll", "What you\\'ll").replace(
+def _detail_docs(spark, sf_dir, every=False):
+    sql = (_DETAIL_SRC.partition("\nWHERE")[0] if every else _DETAIL_SRC).replace("chr(10)", "'\\n'").replace("What you''ll", "What you\\'ll").replace(
         "regexp_matches(lower(text),", "regexp_like(lower(text),").replace("FROM documents", "FROM {src}")
     docs = spark.sql(sql, src=table(spark, sf_dir, "documents"))
     return docs.withColumn("description", F.expr(_DETAIL_TEXT))
@@ -409,3 +431,13 @@ def preview_sections(spark, sf_dir):
 
     return df.select("doc_id", items(vocab.DETAIL_TITLES[0]).alias("about_items"),
                      items(vocab.DETAIL_TITLES[1]).alias("resp_items"), _c("v.has_more").alias("has_more"))
+
+
+@query("preview_sections_whole")
+def preview_sections_whole(spark, sf_dir):
+    """Previews of every document in all four forms, words of headings in the text or not."""
+    view = detail.detail_view(F.lit("Role"), F.lit("full-time"), F.lit("Berlin"), F.lit(None).cast("string"), _c("description"))
+    shown = F.array_join(F.transform("v.preview", lambda s: F.concat(
+        s["title"], F.lit("="), F.array_join(F.concat(F.transform(s["fields"], lambda f: f["value"]), s["items"]), "|"))), "#")
+    return _detail_docs(spark, sf_dir, every=True).select("doc_id", view.alias("v")).select(
+        "doc_id", shown.alias("preview"), _c("v.has_more").alias("has_more"))

@@ -18,7 +18,8 @@ similarity 0.8 with 5e-7.
 
 Defined results: NULL text or no words: empty set, linked with nothing, kept.  Fewer than five words:
 the whole sequence is the one shingle.  NULL ids are never linked, and kept.  Rows that repeat an id share
-the class of their own text; with equal texts they share one fate.  No rows: no rows.  Columns besides id
+the class of their own text; with equal texts they share one fate.  ``keep_first`` judges row by row
+and keeps one row of a group, NULL and repeated ids included.  No rows: no rows.  Columns besides id
 and text are not read, or come back unchanged from ``keep_first``.
 """
 
@@ -29,6 +30,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .common import byte_lengths, join_side, portions, small_batches, stored
 
 WORDS = 5
@@ -371,7 +373,18 @@ def near_duplicates(docs):
 
 
 def keep_first(docs):
-    """The rows of ``docs`` whose id is the smallest of its group, with exactly their columns."""
-    gone = stored(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct())
-    marked = join_side(docs, gone.withColumn("_gone", F.lit(True)), "doc_id", gone.count(), ["doc_id"])
-    return marked.filter("_gone IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """One row of each group of ``docs``, that of the smallest id, with exactly their columns.
+
+    Rows are told apart by a number of their own, so repeated and NULL ids are judged row by row; of
+    equal ids the first row as written stays, and a NULL id stays only where the group has no other.
+    """
+    keyed = cut_lineage(docs.select(F.struct("*").alias("_row"), F.monotonically_increasing_id().alias("_rid")))
+    groups = near_duplicates(keyed.select(F.col("_rid").alias("doc_id"), F.col("_row.text").alias("text")))
+    ids = keyed.select("_rid", F.col("_row.doc_id").alias("id"))
+    ids = stored(groups.select(F.col("doc_id").alias("_rid"), "component_id").join(ids, "_rid"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_rid"))
+    firsts = stored(ids.groupBy("component_id").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "component_id", F.col("least._rid").alias("first")))
+    gone = stored(join_side(ids, firsts, "component_id", firsts.count(), ["_rid"], "inner").filter("_rid <> first").select("_rid"))
+    marked = join_side(keyed, gone.withColumn("_gone", F.lit(True)), "_rid", gone.count(), ["_rid"])
+    return marked.filter("_gone IS NULL").select("_row.*")

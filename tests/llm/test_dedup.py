@@ -119,3 +119,12 @@ def test_thick_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     monkeypatch.setattr(m, "PIVOT_ROUNDS", 0)
     compare(m.near_duplicates(df).collect(), docs)
+
+
+def test_keep_first_judges_rows(spark):
+    """Repeated ids do not carry each other away, and repeated rows and NULL ids keep one row of a group."""
+    one, two, three, four = (" ".join(f"{name}{i}" for i in range(60)) for name in "abcd")
+    rows = [(1, one), (2, one), (2, two), (3, three), (3, three), (None, four), (None, four), (None, three), (None, None), (4, "")]
+    kept = m.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, one), (2, two), (3, three), (None, four), (None, None), (4, "")]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)

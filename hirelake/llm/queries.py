@@ -6,7 +6,7 @@ from . import bpe
 from . import chat_windows as chat
 from . import html_mincut, language_models, minhash_dedup, packing
 from . import quality_rules as rules
-from . import quality_vote, topk_search, warc_revisits
+from . import quality_vote, secret_scan, topk_search, warc_revisits
 from .common import fold, table
 
 QUERIES = {}
@@ -94,3 +94,9 @@ def op6(spark, sf_dir):
     found = warc_revisits.resolve_revisits(warc_revisits.records_of(table(spark, sf_dir, "pages")))
     shown = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
     return found.select("record_id", "origin_id", "state", shown.alias("headers"))
+
+
+@query("op13_secret_scan")
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.span_digest(secret_scan.scan(docs, secret_scan.fit(docs)))

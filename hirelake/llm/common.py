@@ -54,6 +54,14 @@ def stored(df, *partition_by):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df):
+    """Delete the interim table that ``df`` reads, once nothing else reads it."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def pack_ints(values):
     """Compressed bytes of an integer array; small numbers take little room."""
     planes = np.ascontiguousarray(values, dtype="<u4").view(np.uint8).reshape(-1, 4).T

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import chat_windows as chat
-from . import html_mincut, language_models, minhash_dedup, packing
+from . import collocations, html_mincut, language_models, minhash_dedup, packing
 from . import quality_rules as rules
 from . import quality_vote, secret_scan, topk_search, warc_revisits
 from .common import fold, table
@@ -100,3 +100,8 @@ def op6(spark, sf_dir):
 def op13(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return secret_scan.span_digest(secret_scan.scan(docs, secret_scan.fit(docs)))
+
+
+@query("op11_collocations", collocations.SQL)
+def op11(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from . import chat_windows as chat
-from . import collocations, html_mincut, language_models, minhash_dedup, packing
+from . import collocations, conversation_trie, html_mincut, language_models, minhash_dedup, packing
 from . import quality_rules as rules
 from . import quality_vote, secret_scan, topk_search, warc_revisits
 from .common import fold, table
@@ -105,3 +105,8 @@ def op13(spark, sf_dir):
 @query("op11_collocations", collocations.SQL)
 def op11(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_trie", conversation_trie.SQL)
+def op12(spark, sf_dir):
+    return conversation_trie.prefix_trie(*conversation_trie.rebuild(table(spark, sf_dir, "conversations")))

@@ -43,15 +43,19 @@ _BLOCK = "shard int, lang string, n long, words binary, codes binary"
 _COUNT = "lang string, k int, phrase string, start int, n long"
 
 
-def _to_blocks(batches):
+def _to_blocks(size):
     """Documents to blocks of one language: its words, and their numbers in order, 0 for a break."""
+    return lambda batches: _blocks(batches, size)
+
+
+def _blocks(batches, size):
     import pyarrow as pa
     import pyarrow.compute as pc
     import zstandard
 
     turn = TaskContext.get().partitionId()
     squeeze = zstandard.ZstdCompressor(level=3).compress
-    for rows in portions(batches, lambda b: byte_lengths(b.column("text")), BLOCK_BYTES):
+    for rows in portions(batches, lambda b: byte_lengths(b.column("text")), size):
         for lang in sorted(pc.unique(rows.column("lang")).to_pylist()):
             texts = rows.filter(pc.equal(rows.column("lang"), lang)).column("text").combine_chunks()
             texts = pc.ascii_lower(pc.cast(texts, pa.large_string()))
@@ -73,11 +77,11 @@ def _to_blocks(batches):
         pa.default_memory_pool().release_unused()
 
 
-def word_blocks(docs):
+def word_blocks(docs, size=BLOCK_BYTES):
     """Blocks of all texts, written; one folder for each shard."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(rows.mapInArrow(_to_blocks, _BLOCK), "shard")
+    return stored(rows.mapInArrow(_to_blocks(size), _BLOCK), "shard")
 
 
 def _word_hashes(lang, words):
@@ -91,9 +95,10 @@ def _extend(hashes, words):
         return hashes * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(1)
 
 
-def _slot(hashes):
+def _slot(hashes, slots):
+    """Slot of each hash among ``slots``, a power of two."""
     with np.errstate(over="ignore"):
-        return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)
+        return (hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(65 - int(slots).bit_length())
 
 
 def open_phrases(codes, hashes, reached, step):
@@ -123,7 +128,8 @@ def open_phrases(codes, hashes, reached, step):
             break
         whole[at] = _extend(whole[at], own[at + k - 1])
         frequent = np.full(len(codes), NEVER, dtype=np.uint8)
-        frequent[at] = reached[k][_slot(whole[at])]
+        # A slot may be set before a phrase that shares it is counted itself.
+        frequent[at] = np.maximum(reached[k][_slot(whole[at], len(reached[k]))], since[at])
         since = np.append(np.maximum(frequent[:-1], frequent[1:]), np.uint8(NEVER))
     return found
 
@@ -156,28 +162,31 @@ def _count_step(shipped, step):
     return run
 
 
-def _slots_of(batches):
+def _slots_of(slots):
     """Phrases to their length and slot."""
-    import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            length, slot = [], []
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                whole = np.zeros(1, dtype=np.uint64)
+                words = _word_hashes(lang, phrase.encode().split(b" "))
+                for i in range(len(words)):
+                    whole = _extend(whole, words[i:i + 1])
+                length.append(len(words))
+                slot.append(int(_slot(whole, slots)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(slot, pa.int64())], names=["k", "slot"])
 
-    for batch in batches:
-        length, slot = [], []
-        for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-            whole = np.zeros(1, dtype=np.uint64)
-            words = _word_hashes(lang, phrase.encode().split(b" "))
-            for i in range(len(words)):
-                whole = _extend(whole, words[i:i + 1])
-            length.append(len(words))
-            slot.append(int(_slot(whole)[0]))
-        yield pa.RecordBatch.from_arrays([pa.array(length, pa.int32()), pa.array(slot, pa.int64())], names=["k", "slot"])
+    return run
 
 
-def frequent_phrases(blocks, least=LEAST):
+def frequent_phrases(blocks, least=LEAST, slot_bits=SLOT_BITS):
     """All phrases of up to ``LONGEST`` words with at least ``least`` occurrences: lang, k, phrase, n."""
     import zstandard
 
     spark = blocks.sparkSession
-    reached = {k: np.full(1 << SLOT_BITS, NEVER, dtype=np.uint8) for k in range(1, LONGEST)}
+    reached = {k: np.full(1 << slot_bits, NEVER, dtype=np.uint8) for k in range(1, LONGEST)}
     tally, last, step = None, 0, 0
     while step < last + SHARDS:
         packed = {k: zstandard.ZstdCompressor(level=1).compress(v.tobytes()) for k, v in reached.items()}
@@ -191,7 +200,7 @@ def frequent_phrases(blocks, least=LEAST):
         if tally is not None:
             discard(tally)
         fresh = now.filter((F.col("frequent") == step) & (F.col("k") < LONGEST)).select("lang", "phrase")
-        fresh = fresh.mapInArrow(_slots_of, "k int, slot long").distinct().toPandas()
+        fresh = fresh.mapInArrow(_slots_of(1 << slot_bits), "k int, slot long").distinct().toPandas()
         for k, slots in fresh.groupby("k")["slot"]:
             held = reached[k]
             held[slots.to_numpy()] = np.minimum(held[slots.to_numpy()], step)

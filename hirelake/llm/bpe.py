@@ -2,10 +2,11 @@
 
 Texts are split at ASCII white space, which the tokenizer drops and across which none of its steps
 reaches.  Texts become blocks: a block holds the words of some documents as numbers that point into
-the block's own word list.  Blocks are written once, bucketed, and stay.  The word lists are dealt by
-the hash of the word, each distinct word is encoded once there (per ``GROUP`` blocks, so that the table
-of a task stays small at any size), and the ids are joined back to the blocks by word number.  Decoding
-joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
+the block's own word list.  Blocks are written once, bucketed, and stay.  The word lists of all blocks
+are dealt by the hash of the word, so each distinct word of the corpus is met in one bucket and encoded
+once there; the ids are joined back to the blocks by word number.  A bucket whose table passes
+``TABLE_WORDS`` words starts a new one, so that the memory of a task stays bounded at any size.
+Decoding joins ids to the vocabulary's pieces, a table bounded by the vocabulary.
 
 Python is used because the encoder is a library; the shuffles carry word lists and their ids only,
 never texts.
@@ -29,8 +30,8 @@ from ..session import scratch_path
 from .common import byte_lengths, pack_ints, portions, small_batches, spans, unpack_ints
 
 BLOCK_BYTES = 8 << 20
-BUCKETS = 256
-GROUP = 4096
+BUCKETS = 256  # at least; as many as the shuffle has partitions, so that all of them have words
+TABLE_WORDS = 1 << 20
 #: Letters of one word of the tokenizer, then a run of marks, which is a word of its own.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!#$%&*,.:;?]*)")
 
@@ -60,7 +61,7 @@ def _tokenizer(text):
     return tok
 
 
-def _to_blocks(id_type):
+def _to_blocks(id_type, buckets):
     """Documents to blocks: one row of word numbers, and a row of words for each hash bucket."""
     def run(batches):
         import pyarrow as pa
@@ -82,15 +83,15 @@ def _to_blocks(id_type):
             coded = flat.filter(keep).dictionary_encode()
             by_name = pc.sort_indices(coded.dictionary).to_numpy()
             found = coded.dictionary.take(pa.array(by_name)).cast(pa.large_binary()).to_pylist()
-            home = np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found)) % BUCKETS
+            home = np.fromiter(map(zlib.crc32, found), dtype=np.uint32, count=len(found)) % buckets
             by_home = np.argsort(home, kind="stable")
             order, found = by_name[by_home], [found[i] for i in by_home.tolist()]
-            ends = np.searchsorted(home[by_home], np.arange(BUCKETS + 1))
+            ends = np.searchsorted(home[by_home], np.arange(buckets + 1))
             block = (part << 24) + n
             n += 1
             out = [(block, -1, rows.column("id").to_pylist(), counts,
                     pack_ints(coded.indices.to_numpy()), pack_ints(order))]
-            for b in range(BUCKETS):
+            for b in range(buckets):
                 if mine := found[ends[b]:ends[b + 1]]:
                     out.append((block, b, None, None, squeeze(b" ".join(mine)), None))
             yield pa.RecordBatch.from_arrays(
@@ -101,7 +102,7 @@ def _to_blocks(id_type):
     return run
 
 
-def _encode_words(vocabulary):
+def _encode_words(vocabulary, most=TABLE_WORDS):
     """Word rows, sorted by bucket, to rows of ids; every distinct word of a bucket once."""
     def run(batches):
         import pyarrow as pa
@@ -128,8 +129,8 @@ def _encode_words(vocabulary):
         for batch in batches:
             out = []
             for row in batch.to_pylist():
-                if (row["block"] // GROUP, row["bucket"]) != at:
-                    at, known = (row["block"] // GROUP, row["bucket"]), {}
+                if row["bucket"] != at or len(known) > most:
+                    at, known = row["bucket"], {}
                 words = expand(row["data"]).decode().split(" ")
                 fresh = {}
                 for w in words:
@@ -201,12 +202,17 @@ def _documents(codes, counts, lens, starts, pool, shown):
 
 
 def _bucketed(df, key):
-    """Write the rows once as a table bucketed by ``key``: a later join on it need not move them again."""
+    """Write the rows once as a table bucketed by ``key``: a later join on it need not move them again.
+
+    The catalog only carries the buckets to the reader; the entry goes at once, the files stay.
+    """
     spark = df.sparkSession
     name, path = f"blocks_{uuid.uuid4().hex}", scratch_path(spark, "blocks")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(n, key).option("path", path).option("compression", "none").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 def encode_documents(docs, vocabulary=None, decode=False):
@@ -222,9 +228,10 @@ def encode_documents(docs, vocabulary=None, decode=False):
     kind = docs.schema["doc_id"].dataType
     arrow = to_arrow_type(kind)
     schema = T._parse_datatype_string(_BLOCK.format(id=kind.simpleString()))
-    blocks = _bucketed(docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_to_blocks(arrow), schema), "block")
-    lists = blocks.filter("bucket >= 0").select("block", "bucket", "data").withColumn("grp", F.expr(f"block DIV {GROUP}"))
-    coded = lists.repartition("grp", "bucket").sortWithinPartitions("grp", "bucket").drop("grp").mapInArrow(
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    blocks = _bucketed(docs.select(F.col("doc_id").alias("id"), "text").mapInArrow(_to_blocks(arrow, buckets), schema), "block")
+    lists = blocks.filter("bucket >= 0").select("block", "bucket", "data")
+    coded = lists.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _encode_words(shipped), "block long, bucket int, data binary")
     coded = coded.groupBy("block").agg(F.collect_list(F.struct("bucket", "data")).alias("words"))
     both = blocks.filter("bucket < 0").join(coded, "block", "left").select("doc_ids", "counts", "data", "codes", "words")

@@ -208,7 +208,8 @@ def pack(items, capacity=CAPACITY):
     bases = by_part.select("length", "_part", before.alias("_base"))
     ranges = spark.createDataFrame(
         _ranges(plan(counts, capacity)), "_length long, _lo long, _hi long, _first long, _each int, _at int")
-    ranked = numbered.join(bases, ["length", "_part"]).withColumn("_g", F.col("_base") + F.col("_rank"))
+    # One row for each length and task: it grows with the tasks, so it is never broadcast.
+    ranked = numbered.join(bases.hint("merge"), ["length", "_part"]).withColumn("_g", F.col("_base") + F.col("_rank"))
     placed = ranked.join(F.broadcast(ranges), (F.col("length") == F.col("_length"))
                          & (F.col("_g") >= F.col("_lo")) & (F.col("_g") < F.col("_hi")))
     k = F.col("_g") - F.col("_lo")

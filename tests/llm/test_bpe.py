@@ -1,4 +1,5 @@
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -51,3 +52,42 @@ def test_query(spark, sf, tok):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert not docs
+
+
+def test_each_distinct_word_of_the_corpus_is_encoded_once(spark, tok, monkeypatch):
+    """Whatever the number of input tasks, a word list goes to the bucket of its words."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 7} gamma") for i in range(200)], "doc_id long, text string").repartition(8)
+    before = {t.name for t in spark.catalog.listTables()}
+    bpe.encode_documents(docs).collect()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    import pyarrow as pa
+
+    seen = []
+
+    class Words:
+        value = bpe._read(bpe.default_vocabulary())
+
+    at = iter(range(3))
+    monkeypatch.setattr(bpe, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: next(at))))
+    blocks = [b for part in range(3) for b in bpe._to_blocks(pa.int64(), 4)(iter([pa.RecordBatch.from_pydict(
+        {"id": pa.array([part]), "text": ["alpha beta gamma. alpha"]})]))]
+    rows = sorted((r for b in blocks for r in b.to_pylist() if r["bucket"] >= 0), key=lambda r: r["bucket"])
+    lists = pa.RecordBatch.from_pydict({k: [r[k] for r in rows] for k in ("block", "bucket", "data")})
+    real = bpe._tokenizer
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def encode(self, text, **kw):
+            seen.extend(text.split(" "))
+            return self.inner.encode(text, **kw)
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(texts)
+            return self.inner.encode_batch_fast(texts, **kw)
+
+    monkeypatch.setattr(bpe, "_tokenizer", lambda text: Counted(real(text)))
+    out = list(bpe._encode_words(Words)(iter([lists])))
+    assert sum(b.num_rows for b in out) == len(rows)
+    assert sorted(seen) == sorted(set(seen)) and {"alpha", "beta", "gamma"} <= set(seen)

@@ -282,19 +282,9 @@ def listing_detail_enrich(spark, sf_dir):
 @query("html_postings", """
 SELECT 'https://www.board.example/listings/role-' || doc_id AS url, 'Page role ' || doc_id AS title, 'Page company' AS company,
   'Excel' AS skills, 'Page role ' || doc_id || '~Page company~Excel~Applicant Location: Kisumu~Full Time~Job descriptions & requirements~Do the '
-  || source || ' work~Second line~Similar jobs' AS description FROM documents WHERE doc_id % 2 = 0""")
+  || source || ' work~Second line~Similar jobs' AS description FROM documents""")
 def html_postings(spark, sf_dir):
-    return _page_postings(_detail_pages(spark, sf_dir))
-
-
-@query("html_postings_whole")
-def html_postings_whole(spark, sf_dir):
-    """``html_postings`` of the pages of all documents."""
-    return _page_postings(_detail_pages(spark, sf_dir, every=True))
-
-
-def _page_postings(pages):
-    rows = boards.extract_details(pages, _BOARD)
+    rows = boards.extract_details(_detail_pages(spark, sf_dir, every=True), _BOARD)
     return rows.select("url", "own.title", "own.company", F.array_join("own.skills", "|").alias("skills"),
                        F.replace("own.description", F.lit("\n"), F.lit("~")).alias("description"))
 

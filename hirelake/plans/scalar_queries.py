@@ -60,19 +60,10 @@ def _wrapped_docs(spark, sf_dir):
                      src=table(spark, sf_dir, "documents"))
 
 
-@query("clean_html", f"""
-SELECT doc_id, trim(regexp_replace(replace({_ws("replace(text, chr(10), ' ')")} || ' • tail éA© b', '•', '•'), ' +', ' ', 'g')) AS clean
-FROM documents WHERE NOT regexp_matches(text, '[<·•&]') UNION ALL
-SELECT doc_id, 'marked' FROM documents WHERE regexp_matches(text, '[<·•&]')""")
+@query("clean_html", rf"""
+SELECT doc_id, trim(regexp_replace(regexp_replace({_ws("replace(text, chr(10), ' ')")} || '• tail éA© b', '[ ]*[•·][ ]*', ' • ', 'g'), ' +', ' ', 'g')) AS clean
+FROM documents""")
 def clean_html(spark, sf_dir):
-    docs = _wrapped_docs(spark, sf_dir)
-    special = _c("text").rlike("[<·•&]")
-    return docs.select("doc_id", F.when(special, "marked").otherwise(text.clean_html(_c("html"))).alias("clean"))
-
-
-@query("clean_html_whole")
-def clean_html_whole(spark, sf_dir):
-    """``clean_html`` of every text, those with < & or a bullet too."""
     return _wrapped_docs(spark, sf_dir).select("doc_id", text.clean_html(_c("html")).alias("clean"))
 
 
@@ -315,21 +306,14 @@ def extract_skills(spark, sf_dir):
         _c("title"), _c("company"), _c("description"), tags), "|").alias("skills"))
 
 
-@query("structure_description", f"""
+@query("structure_description", rf"""
 SELECT doc_id, array_to_string(list_transform(list_filter([('Overview', ov), ('Requirements', rq), ('Benefits', bn)], lambda s: s[2] <> ''),
   lambda s: s[1] || '=' || s[2]), '#') AS sections FROM (
-  SELECT doc_id, {_ws("replace(substr(text, 1, 300), chr(10), ' ') || '.x'")} AS ov,
+  SELECT doc_id, regexp_replace({_ws("replace(text, chr(10), ' ') || '.x'")}, '^[•*\-\d.)(]+\s*', '') AS ov,
     CASE WHEN doc_id % 2 = 0 THEN 'years of ' || source || '|must ' || lang ELSE '' END AS rq,
-    array_to_string(list_transform(generate_series(1, least(doc_id % 30, 20)::INT), lambda i: 'perk no ' || i), '|') AS bn FROM documents)""")
+    array_to_string(list_transform(generate_series(1, (doc_id % 30)::INT), lambda i: 'perk no ' || i), '|') AS bn FROM documents)""")
 def structure_description(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    html = _description_html(F.substring("text", 1, 300))
-    return docs.select("doc_id", sections.render_sections(sections.structure_description(html, items=20, sentences=8)).alias("sections"))
-
-
-@query("structure_description_whole")
-def structure_description_whole(spark, sf_dir):
-    """``structure_description`` of whole texts, all items kept."""
+    """Whole texts, all items kept."""
     html = _description_html(_c("text"))
     return table(spark, sf_dir, "documents").select(
         "doc_id", sections.render_sections(sections.structure_description(html)).alias("sections"))
@@ -415,26 +399,8 @@ def split_points(spark, sf_dir):
         "doc_id", F.array_join(points, "|").alias("points"), F.size(points).alias("n"))
 
 
-@query("preview_sections", f"""
-SELECT doc_id, CAST(least(ab, 17) AS INT) AS about_items, CAST(least(rs, greatest(17 - ab, 0)) AS INT) AS resp_items,
-  ab + rs > 17 AS has_more FROM (
-  SELECT doc_id, len({_POINTS}) AS ab, CASE WHEN form IN (0, 3) THEN 2 ELSE 0 END AS rs FROM ({_DETAIL_SRC}) WHERE form IN (0, 2) )
-  WHERE ab > 0""".replace("ab + rs > 17", "ab + rs + rq > 17").replace(
-    "ELSE 0 END AS rs", "ELSE 0 END AS rs, CASE WHEN form = 0 THEN 2 ELSE 0 END AS rq"))
+@query("preview_sections")
 def preview_sections(spark, sf_dir):
-    docs = _detail_docs(spark, sf_dir).filter("form in (0, 2)")
-    view = detail.detail_view(F.lit("Role"), F.lit("full-time"), F.lit("Berlin"), F.lit(None).cast("string"), _c("description"))
-    df = docs.select("doc_id", "form", detail.split_points(_c("t")).alias("pts"), view.alias("v")).filter(F.size("pts") > 0)
-
-    def items(title):
-        return F.coalesce(F.size(F.try_element_at(F.filter("v.preview", lambda s: s["title"] == title), F.lit(1))["items"]), F.lit(0))
-
-    return df.select("doc_id", items(vocab.DETAIL_TITLES[0]).alias("about_items"),
-                     items(vocab.DETAIL_TITLES[1]).alias("resp_items"), _c("v.has_more").alias("has_more"))
-
-
-@query("preview_sections_whole")
-def preview_sections_whole(spark, sf_dir):
     """Previews of every document in all four forms, words of headings in the text or not."""
     view = detail.detail_view(F.lit("Role"), F.lit("full-time"), F.lit("Berlin"), F.lit(None).cast("string"), _c("description"))
     shown = F.array_join(F.transform("v.preview", lambda s: F.concat(

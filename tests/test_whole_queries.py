@@ -42,14 +42,14 @@ def plain(x):
 
 
 def test_clean_html(spark, docs):
-    got = {r.doc_id: r.clean for r in run(spark, docs, "clean_html_whole")}
+    got = {r.doc_id: r.clean for r in run(spark, docs, "clean_html")}
     for doc_id, text, _, _ in docs[1]:
         whole = plain(text.replace("&", "&amp;").replace("\n", " ")) + "\u2022tail\xa0\xe9A\xa9 b"
         assert got[doc_id] == ws(re.sub(r"\s*[\u2022\u00b7]\s*", " \u2022 ", whole)), doc_id
 
 
 def test_structure_description(spark, docs):
-    got = {r.doc_id: r.sections for r in run(spark, docs, "structure_description_whole")}
+    got = {r.doc_id: r.sections for r in run(spark, docs, "structure_description")}
     for doc_id, text, lang, source in docs[1]:
         if re.search("<b>|&lt;", text):
             continue  # inner tags begin lines of their own
@@ -63,7 +63,7 @@ def test_structure_description(spark, docs):
 
 
 def test_html_postings(spark, docs):
-    got = {r.url: r for r in run(spark, docs, "html_postings_whole")}
+    got = {r.url: r for r in run(spark, docs, "html_postings")}
     for doc_id, _, _, source in docs[1]:
         r = got[f"https://www.board.example/listings/role-{doc_id}"]
         assert (r.title, r.company, r.skills) == (f"Page role {doc_id}", "Page company", "Excel")
@@ -79,7 +79,7 @@ def points(x):
 
 
 def test_preview_sections(spark, docs):
-    got = {r.doc_id: r for r in run(spark, docs, "preview_sections_whole")}
+    got = {r.doc_id: r for r in run(spark, docs, "preview_sections")}
     for doc_id, text, lang, source in docs[1]:
         t = text.replace("\n", " ").replace(";", ",")
         resp = f"What you'll do: Build pipelines number {doc_id} and keep them running; Review the work of peers every day."

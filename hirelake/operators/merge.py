@@ -7,9 +7,13 @@ record and of the index right before a row follows by running aggregates; that s
 better guess.  A row whose predecessors are guessed right gets the right answer in the next round,
 so by induction over arrival the guesses can only come to rest on the sequential result.  No group
 is collected anywhere; hot signatures and hot records are cut into ranges (``running_before``).
+
+Only the first round sees all rows.  After it a round takes up the records that a moved row has left
+or joined, and the rows that read a signature whose owners have changed; all others are settled, as
+nothing they depend on is different.
 """
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +39,18 @@ _SIGNED = ("source_job_id", "url_key", "title", "company", "location_city", "loc
 _GAINED = (0, 3, 4, 5, 6, 7, 8, 10, 11, 12)
 
 
-@dataclass
 class MergeResult:
-    """Outcome of a merge: the new table, one decision per incoming row, counters per source."""
+    """Outcome of a merge: the new table, one decision per incoming row, counters per source.
+
+    ``postings`` is put together when it is first asked for: a report alone moves no texts.
+    """
+
+    def __init__(self, build, decisions, report):
+        self._build, self.decisions, self.report = build, decisions, report
 
-    postings: DataFrame
-    decisions: DataFrame
-    report: DataFrame
+    @cached_property
+    def postings(self) -> DataFrame:
+        return self._build()
 
 
 def with_signatures(postings):
@@ -113,8 +122,8 @@ def _new_skills(rows, rec="rec", t="t"):
     return first.groupBy(t).agg(F.count(F.lit(1)).alias("added"))
 
 
-def _advance(rows, stored_writes):
-    """One round: new guesses (t, rec, top) and the signatures every row leaves in the index."""
+def _judge(rows):
+    """Whole records with each row's better guess ``new_top`` and the signatures it ``leaves`` in the index."""
     enriched = rows.join(_new_skills(rows), "t", "left")
     lead = lambda n: F.when(_c("top"), _c(n))
     specs = {"p_mask": ("bit_or", _c("mask")), "p_added": ("sum", _c("added")),
@@ -131,27 +140,40 @@ def _advance(rows, stored_writes):
     after = {n: F.when(_c("new_top"), F.coalesce(_c(n), before(n))).otherwise(F.coalesce(before(n), _c(n)))
              for n in _SIGNED}
     source = F.when(_c("new_top"), _c("source")).otherwise(F.coalesce(_c("p_source"), _c("source")))
-    left = scoring.signature_list(source, *[after[n] for n in _SIGNED])
-    # Read three times below, so it is written out once.
-    judged = cut_lineage(seen.select("t", "rec", "stored", "new_top", "signatures", left.alias("writes")))
+    leaves = scoring.signature_list(source, *[after[n] for n in _SIGNED])
+    # Read several times, so it is written out once.
+    return cut_lineage(seen.select(*rows.columns, "new_top", leaves.alias("leaves")))
+
+
+def _reads(rows):
+    return rows.filter(~_c("stored")).select(F.posexplode("signatures").alias("prio", "sig"), "t")
+
+
+def _writes(rows, signatures, owner):
+    return rows.filter(~_c("stored")).select(F.explode(signatures).alias("sig"), "t", _c(owner).alias("owner"))
 
+
+def _look_up(reads, writes, stored_writes):
+    """(t, hit): the owner of a row's first signature that was in the index right before the row."""
     events = (
-        judged.filter(~_c("stored")).select(
-            F.posexplode("signatures").alias("prio", "sig"), (_c("t") * 2).alias("at"),
-            "t", F.lit(None).cast("bigint").alias("owner"))
-        .unionByName(judged.filter(~_c("stored")).select(
-            F.explode("writes").alias("sig"), F.lit(None).cast("int").alias("prio"),
-            (_c("t") * 2 + 1).alias("at"), "t", _c("rec").alias("owner")))
+        reads.select("sig", "prio", (_c("t") * 2).alias("at"), "t", F.lit(None).cast("bigint").alias("owner"))
+        .unionByName(writes.select("sig", F.lit(None).cast("int").alias("prio"), (_c("t") * 2 + 1).alias("at"), "t", "owner"))
         .unionByName(stored_writes)
     )
     # One row may name a signature once only, so (sig, at) is unique.
     looked_up = running_before(events, "sig", "at", {"hit": ("last", _c("owner"))}).filter(
         _c("prio").isNotNull() & _c("hit").isNotNull())
-    match = looked_up.groupBy("t").agg(F.min_by("hit", "prio").alias("hit"))
-    guesses = judged.join(match, "t", "left").select(
-        "t", F.when(_c("stored"), _c("t")).otherwise(F.coalesce(_c("hit"), _c("t"))).alias("new_rec"), "new_top",
-        "writes")
-    return guesses
+    return looked_up.groupBy("t").agg(F.min_by("hit", "prio").alias("hit"))
+
+
+def _moved(rows):
+    """Records that a row with a new guess has left or joined."""
+    moved = rows.filter((_c("rec") != _c("new_rec")) | (_c("top") != _c("new_top")))
+    return cut_lineage(moved.select(F.explode(F.array("rec", "new_rec")).alias("rec")).distinct())
+
+
+def _settled(rows):
+    return rows.withColumns({"rec": _c("new_rec"), "top": _c("new_top")}).drop("new_rec", "new_top")
 
 
 def _settle(active, stored_writes, start=None):
@@ -168,15 +190,37 @@ def _settle(active, stored_writes, start=None):
     else:
         rows = active.join(start, "t", "left").withColumns({
             "rec": F.coalesce("rec", "t"), "top": F.coalesce(_c("top"), F.lit(True))})
-    rows = cut_lineage(rows)
+    judged = _judge(rows)
+    hit = _look_up(_reads(judged), _writes(judged, "leaves", "rec"), stored_writes)
+    # ``writes`` are what a row has left in the index, ``owner`` is the record it did so for.
+    everyone = cut_lineage(judged.join(hit, "t", "left").withColumns({
+        "new_rec": F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")), "owner": _c("rec")}).drop(
+        "hit").withColumnRenamed("leaves", "writes"))
+    touched, base, patch = _moved(everyone), _settled(everyone), None
     while True:
-        step = _advance(rows, stored_writes)
-        merged = cut_lineage(rows.join(step, "t"))
-        moved = merged.filter((_c("rec") != _c("new_rec")) | (_c("top") != _c("new_top"))).limit(1).count()
-        rows = merged.withColumns({"rec": _c("new_rec"), "top": _c("new_top")}).drop("new_rec", "new_top")
-        if not moved:
-            return rows
-        rows = rows.drop("writes")
+        current = base if patch is None else base.join(patch.select("t"), "t", "left_anti").unionByName(patch)
+        if touched.isEmpty():
+            return current
+        judged = _judge(current.join(touched, "rec", "left_semi"))
+        both = _writes(judged, "writes", "owner").unionByName(_writes(judged, "leaves", "rec"))
+        changed = both.groupBy("sig", "t", "owner").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("sig").distinct()
+        concerned = _reads(current).join(changed, "sig", "left_semi").select("t").distinct()
+        reads = cut_lineage(_reads(current).join(concerned, "t", "left_semi"))
+        readers = reads.select("t").distinct()
+        renewed = judged.withColumns({"writes": _c("leaves"), "owner": _c("rec")}).drop("leaves")
+        rest = current.join(judged.select("t"), "t", "left_anti")
+        names = reads.select("sig").distinct()
+        writes = _writes(rest, "writes", "owner").unionByName(_writes(renewed, "writes", "owner"))
+        hit = _look_up(reads, writes.join(names, "sig", "left_semi"), stored_writes.join(names, "sig", "left_semi"))
+        again = renewed.unionByName(rest.join(readers, "t", "left_semi").withColumn("new_top", _c("top")))
+        again = again.join(readers.withColumn("_reads", F.lit(True)), "t", "left").join(hit, "t", "left")
+        again = cut_lineage(again.withColumn("new_rec", F.when(
+            _c("_reads"), F.coalesce("hit", "t")).otherwise(_c("rec"))).drop("_reads", "hit"))
+        touched = _moved(again)
+        again = _settled(again)
+        if patch is not None:
+            again = cut_lineage(patch.join(again.select("t"), "t", "left_anti").unionByName(again))
+        patch = again
 
 
 def _replay(control):
@@ -212,6 +256,7 @@ def _replay(control):
         reached = cut_lineage(reached)
         if reached.limit(1).count() == 0:
             return settled.select("arrival", "t", "rec", "top")
+        settled = cut_lineage(settled.select("t", "rec", "top"))
         active_ids = cut_lineage(active_ids.unionByName(reached))
 
 
@@ -297,21 +342,26 @@ def merge_postings(incoming, existing=None, materialise=True):
         shift = 0 if span is None or low is None or low > span else span - low + 1
         table = existing.select(*fields, F.lit(True).alias("_stored")).unionByName(
             new.withColumn("arrival", _c("arrival") + shift))
-    decided = _replay(_control(table))
+    decided = cut_lineage(_replay(_control(table)))
+    sizes = decided.groupBy("rec").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    decided = cut_lineage(decided.join(sizes, "rec", "left"))
     members = table.join(decided, "arrival", "left")
     if existing is not None:
         last = table.filter("_stored").groupBy("id").agg(
-            F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_more")).filter("_more > 1")
         stale = table.filter("_stored").join(last, "id").filter(_c("arrival") != _c("_keep")).select("arrival")
         members = members.join(stale, "arrival", "left_anti")
-    shared = decided.groupBy("rec").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("rec")
-    grouped = members.join(shared, "rec", "left_semi")
-    single = members.join(shared, "rec", "left_anti")
-    postings = single.select(*fields).unionByName(_assemble(grouped).select(*fields))
+    grouped = members.filter("_n IS NOT NULL").drop("_n")
+
+    def build():
+        # Several aggregates read the members of merged records; they are brought together once.
+        held = cut_lineage(grouped)
+        return members.filter("_n IS NULL").select(*fields).unionByName(_assemble(held).select(*fields))
+
     decisions = members.filter(~_c("_stored")).join(_changes(grouped), "arrival", "left").select(
         "arrival", "source", "rec", "top", F.coalesce(_c("rec") == _c("t"), F.lit(True)).alias("inserted"),
         F.coalesce("changed", F.lit(False)).alias("updated"))
-    return MergeResult(postings, decisions, merge_report(decisions))
+    return MergeResult(build, decisions, merge_report(decisions))
 
 
 def merge_report(decisions):

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from .. import vocab
-from ..operators import merge
 from ..operators.normalise import noise_filter, normalise
 from ..operators.ordering import cap_per_source, unique_first, with_rank
 from ..sources import boards, registry, store
@@ -32,15 +31,14 @@ def in_run_order(postings, sources=None):
 
 
 def run_ingest(spark, landed, root, name, as_of, sources=None, detail_pages=None, per_source=None):
-    """Merge one run into the table at ``root`` and write snapshot ``name``.
+    """Merge one run into the table at ``root`` as commit ``name``.
 
     Returns the report: source, collected, inserted, updated, deduplicated, errors (messages per
     source counted).
     """
     raw, errors = registry.collect_raw(landed, as_of, sources, detail_pages)
     incoming = in_run_order(prepare(raw, as_of, per_source), sources)
-    done = merge.merge_postings(incoming, store.read_postings(spark, root), materialise=False)
-    store.write_postings(done.postings, root, name)
+    counts = store.merge_into(spark, root, name, incoming)
     faults = errors.groupBy("source").agg(F.count(F.lit(1)).alias("errors"))
-    return done.report.join(faults, "source", "full").select(
+    return counts.join(faults, "source", "full").select(
         "source", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("collected", "inserted", "updated", "deduplicated", "errors")])

@@ -7,7 +7,7 @@ from ..operators import admission, merge
 from ..operators import normalise as norm
 from ..operators.ordering import store_order
 from ..schema import POSTING_SCHEMA, conform
-from ..session import scratch_path
+from ..session import cut_lineage, scratch_path
 from ..sources import store
 from ..streaming.ingest import ingest_stream as start_ingest
 from .feed_queries import as_of
@@ -153,6 +153,51 @@ def merge_canonical(spark, sf_dir):
                          F.array_join(F.array_sort("aggregated_sources"), "|").alias("sources"), F.size("skills").cast("bigint").alias("n_skills"))
 
 
+_SEQUENTIAL = f"""
+WITH s AS (SELECT *, 1 + (SELECT count(DISTINCT b.o_orderstatus) FROM orders b WHERE b.o_custkey = a.o_custkey AND b.o_orderkey < a.o_orderkey) AS skills_before
+  FROM ({_SHARE}) a),
+m AS (SELECT *, o_orderkey % 4 <> 0 AND skills_before <= 2 AND coalesce(max(CAST(o_orderkey % 4 <> 0 AS INT)) OVER (
+    PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) = 0 AS takes FROM s)
+SELECT 'Role ' || o_custkey AS title, coalesce(max(id) FILTER (takes), arg_min(id, o_orderkey)) AS id, strftime(min(o_orderdate), '%Y-%m-%d') AS posted,
+  coalesce(max(CASE WHEN o_orderkey % 5 <> 0 THEN 'R' || o_orderkey % 7 END) FILTER (takes), arg_min('R' || o_orderkey % 7, o_orderkey) FILTER (o_orderkey % 5 <> 0)) AS region,
+  CASE WHEN bool_or(takes) OR arg_min(o_orderkey % 4, o_orderkey) <> 0 THEN 'Berlin' ELSE 'Kenya' END AS location,
+  string_agg(DISTINCT source, '|' ORDER BY source) AS sources, 1 + count(DISTINCT o_orderstatus) AS n_skills
+FROM m GROUP BY o_custkey"""
+
+
+def _merged(postings):
+    return postings.select("title", "id", F.date_format("posted_at", "yyyy-MM-dd").alias("posted"), _c("location_region").alias("region"),
+                           "location", F.array_join(F.array_sort("aggregated_sources"), "|").alias("sources"),
+                           F.size("skills").cast("bigint").alias("n_skills"))
+
+
+@query("merge_sequential", _SEQUENTIAL)
+def merge_sequential(spark, sf_dir):
+    """The records that a merge row by row leaves."""
+    return _merged(merge.merge_postings(_order_postings(spark, sf_dir)).postings)
+
+
+@query("table_increments", _SEQUENTIAL)
+def table_increments(spark, sf_dir):
+    """The same records, merged into a table by three batches of falling size."""
+    postings, root = cut_lineage(_order_postings(spark, sf_dir)), scratch_path(spark, "table")
+    top = postings.agg(F.max("arrival")).first()[0] or 0
+    bounds = [0, top * 6 // 10, top * 99 // 100, top]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        store.merge_into(spark, root, str(i), postings.filter(_c("arrival").between(low + (i > 0), high)))
+    return _merged(store.read_postings(spark, root))
+
+
+@query("table_page", with_views("""
+SELECT n, id, title, source FROM (SELECT id, title, source, row_number() OVER (
+    ORDER BY posted_at DESC, quality_score DESC, scraped_at DESC, arrival) AS n FROM v_post) WHERE n BETWEEN 51 AND 150"""))
+def table_page(spark, sf_dir):
+    """Rows 51 to 150 of the stored order, read from the ranges that hold them."""
+    root = scratch_path(spark, "table")
+    store.write_postings(_postings(v_post(spark, sf_dir)), root, "0")
+    return store.page_of_table(spark, root, 50, 100).select(_c("arrival").alias("n"), "id", "title", "source")
+
+
 @query("merge_replay")
 def merge_replay(spark, sf_dir):
     """Row-by-row merge of all document postings; order-dependent, checked against a model in tests."""

@@ -2,23 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import merge
 from ..operators.ordering import with_rank
 from ..plans.ingest import prepare
 from ..sources import store
 
 
 def merge_batch(batch, batch_id, root, as_of):
-    """Merge one micro-batch.  Snapshots are named by batch, so a replayed batch starts from the
-    snapshot before it and overwrites its own."""
-    spark = batch.sparkSession
-    name = f"{batch_id:012d}"
-    earlier = [s for s in store.snapshots(spark, root) if s < name]
-    existing = store.read_postings(spark, root, earlier[-1]) if earlier else None
+    """Merge one micro-batch as a commit of its own; a replayed batch starts from the commits before
+    it and replaces its own."""
     rows = prepare(batch, as_of)
     incoming = with_rank(rows.orderBy("arrival").withColumnRenamed("arrival", "_at"), "arrival").drop("_at")
-    done = merge.merge_postings(incoming, existing, materialise=False)
-    store.write_postings(done.postings, root, name)
+    store.merge_into(batch.sparkSession, root, f"{batch_id:012d}", incoming)
 
 
 def ingest_stream(raw_stream, root, checkpoint, as_of=None):

@@ -11,7 +11,8 @@ _NEXT_SELECTORS = (
     "a[rel='next']", "a[aria-label*='Next']", "a[title*='Next']", ".pagination a",
     "nav[aria-label*='Pagination'] a",
 )
-_ANCHOR = r"(?is)<a\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</a\s*>"
+# Possessive: a long tag neither recurses nor backtracks.
+_ANCHOR = r"(?is)<a\b((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>(.*?)</a\s*+>"
 _HREF = r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
 

@@ -289,6 +289,92 @@ def html_postings(spark, sf_dir):
                        F.replace("own.description", F.lit("\n"), F.lit("~")).alias("description"))
 
 
+def _sheet(spark, sf_dir, listing, page, detail, link):
+    """Result pages (each listing twice on a page) and detail pages (each read twice) of a board, from the documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source")
+    html = F.expr(f"'<html><body><ul><li><a href=\"/about\">About us</a></li>' || {listing} || {listing} || '</ul></body></html>'")
+    lists = d.select(_c("doc_id").alias("seq"), F.expr(page).alias("url"), html.alias("html"))
+    pages = d.filter("doc_id % 4 <> 3").select(F.expr(link).alias("url"), F.expr(detail).alias("html"))
+    other = d.select(F.expr(f"{link} || '-unlinked'").alias("url"), F.lit("<main><h1>Not linked</h1></main>").alias("html"))
+    return lists, pages.unionByName(pages).unionByName(other)
+
+
+def _board_rows(spark, sf_dir, name, *sheet):
+    lists, pages = _sheet(spark, sf_dir, *sheet)
+    rows = boards.adapt_board(lists, pages, boards.BOARDS[name], as_of())
+    return rows.select("job_url", "title", "company", "location", "job_type", "experience_level", "description",
+                       F.coalesce(F.date_format("posted_ts", "yyyy-MM-dd"), "posted_text").alias("posted"))
+
+
+@query("board_myjobmag", """
+SELECT 'https://www.myjobmag.co.ke/job/clerk-' || doc_id AS job_url, 'Clerk ' || doc_id AS title, 'Firm ' || source AS company,
+  CASE WHEN doc_id % 2 = 0 THEN 'Lagos' ELSE 'Kenya' END AS location, CASE WHEN doc_id % 4 <> 3 THEN 'Contract' ELSE 'unknown' END AS job_type,
+  CASE WHEN doc_id % 4 <> 3 THEN '2 years' END AS experience_level,
+  CASE WHEN doc_id % 2 = 0 THEN 'based in LAGOS' ELSE 'anywhere' END || ' 2 days ago' AS description, '2024-06-29' AS posted FROM documents""")
+def board_myjobmag(spark, sf_dir):
+    return _board_rows(
+        spark, sf_dir, "myjobmag",
+        "'<li><a href=\"/job/clerk-' || doc_id || '\">Clerk ' || doc_id || ' at Firm ' || source || '</a><p>' || "
+        "CASE WHEN doc_id % 2 = 0 THEN 'based in LAGOS' ELSE 'anywhere' END || '</p><p>2 days ago</p></li>'",
+        "'https://www.myjobmag.co.ke/jobs-in/kenya?page=' || doc_id",
+        "'<main><h1>Clerk in full</h1><p>Posted: May 3, 2024</p><p>Job Type Contract</p><p>Experience 2 years</p><p>Location Abuja</p>"
+        "<p>Description</p><p>Body of ' || source || '</p><p>Method of Application</p></main>'",
+        "'https://www.myjobmag.co.ke/job/clerk-' || doc_id")
+
+
+@query("board_corporatestaffing", """
+SELECT 'https://www.corporatestaffing.co.ke/jobs/driver-' || doc_id || '/' AS job_url, 'Best Shop Jobs ' || doc_id || 'K' AS title, 'Best Shop' AS company,
+  CASE WHEN doc_id % 2 = 0 THEN 'Kakamega' ELSE 'Kenya' END AS location, 'contract' AS job_type, NULL::VARCHAR AS experience_level,
+  CASE WHEN doc_id % 2 = 0 THEN 'near kakamega' ELSE 'up country' END || ' Contract 3 May 2024' AS description, '2024-05-03' AS posted FROM documents""")
+def board_corporatestaffing(spark, sf_dir):
+    return _board_rows(
+        spark, sf_dir, "corporatestaffing",
+        "'<li><a href=\"/jobs/driver-' || doc_id || '/\">Best Shop Jobs ' || doc_id || 'K</a><p>' || "
+        "CASE WHEN doc_id % 2 = 0 THEN 'near kakamega' ELSE 'up country' END || '</p><p>Contract</p><p>3 May 2024</p></li>'",
+        "'https://www.corporatestaffing.co.ke/jobs/page/' || doc_id", "'<main></main>'",
+        "'https://www.corporatestaffing.co.ke/jobs/driver-' || doc_id || '/'")
+
+
+@query("board_fuzu", """
+SELECT 'https://www.fuzu.com/job/cook-' || doc_id AS job_url, 'Cook ' || doc_id AS title, 'Fuzu Employer' AS company, 'Africa' AS location,
+  'unknown' AS job_type, CASE WHEN doc_id % 4 <> 3 THEN 'Mid-level' END AS experience_level, 'Cook ' || doc_id AS description, NULL::VARCHAR AS posted
+FROM documents""")
+def board_fuzu(spark, sf_dir):
+    return _board_rows(
+        spark, sf_dir, "fuzu",
+        "'<li><a href=\"/job/cook-' || doc_id || '\">Cook ' || doc_id || '</a><p>x</p></li>'",
+        "'https://www.fuzu.com/job?page=' || doc_id",
+        "'<main><p>[menu]</p><p>Big Inn</p><p>logo</p><h1># Cook in full</h1><p>in nairobi, KENYA</p><p>Mid-level</p><p>Description</p>"
+        "<p>Body of ' || source || '</p><p>Tags</p></main>'",
+        "'https://www.fuzu.com/job/cook-' || doc_id")
+
+
+@query("detail_cap", """
+SELECT seq, job_url, looked AS has_detail FROM (SELECT doc_id // 5 AS seq, 'https://www.board.example/listings/role-' || doc_id AS job_url,
+  row_number() OVER (PARTITION BY doc_id // 5 ORDER BY doc_id) <= 2 AS looked FROM documents)""")
+def detail_cap(spark, sf_dir):
+    """Five listings on a result page, the first two of which are looked up."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id DIV 5").alias("seq"))
+    listings = d.select("seq", _c("doc_id").alias("pos"), F.lit("p").alias("page_url"), _c("doc_id").alias("arrival"), F.lit("brightermonday").alias("source"),
+                        F.concat(F.lit("https://www.board.example/listings/role-"), _c("doc_id").cast("string")).alias("job_url"))
+    details = boards.extract_details(_detail_pages(spark, sf_dir, every=True), _BOARD)
+    rows = boards.enrich_listings(listings, details, _BOARD, per_page=2)
+    return rows.select(F.expr("arrival DIV 5").alias("seq"), "job_url", _c("degraded").isNull().alias("has_detail"))
+
+
+@query("jsonld_nested", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN 2 ELSE 1 END AS n, 'Role ' || doc_id || CASE WHEN doc_id % 3 = 2 THEN '|Role [x]' ELSE '' END AS titles FROM documents""")
+def jsonld_nested(spark, sf_dir):
+    """Postings in up to eight levels of lists and @graph lists."""
+    item = "'{\"@type\":\"JobPosting\",\"title\":\"Role ' || doc_id || '\",\"skills\":[\"[[[\",[\"b\"]]}'"
+    page = F.expr(f"""'<script type="application/ld+json">' || CASE doc_id % 3
+      WHEN 0 THEN repeat('[', CAST(doc_id % 9 AS INT)) || {item} || repeat(']', CAST(doc_id % 9 AS INT))
+      WHEN 1 THEN repeat('{{"@graph":[', CAST(doc_id % 9 AS INT)) || {item} || repeat(']}}', CAST(doc_id % 9 AS INT))
+      ELSE repeat('[{{"@graph":[', 4) || {item} || ',{{"@type":"JobPosting","title":"Role [x]"}}' || repeat(']}}]', 4) END || '</script>'""")
+    found = table(spark, sf_dir, "documents").select("doc_id", jsonld.job_postings(page).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n"), F.array_join(F.transform("found", lambda v: F.try_variant_get(v, "$.title", "string")), "|").alias("titles"))
+
+
 _LABEL_SRC = """'Role ' || p_name || chr(10) || 'Posted: May 3, 2024' || chr(10) || 'Job Type ' || p_type || chr(10) || 'Experience ' || p_size || ' years'
   || chr(10) || 'Location ' || p_brand || chr(10) || 'View Jobs at ' || p_name || ' Ltd' || chr(10) || 'Description' || chr(10) || 'Body of ' || p_type
   || chr(10) || 'Method of Application: mail'"""

@@ -11,7 +11,7 @@ from ..functions.classify import job_type
 from ..operators.normalise import looks_like_job, merge_lists, merge_values
 from ..operators.ordering import unique_first
 from ..schema import RAW_SCHEMA, conform
-from ..session import stage_boundary
+from ..session import cut_lineage, stage_boundary
 from . import dom, jsonld
 from .feeds import POSITION_BITS
 
@@ -128,6 +128,7 @@ def fuzu_fields(title, lines, page, as_of):
 # ---- metadata of detail pages: text of the page -> dict of columns
 
 
+# Fixed values below: labels and places as the boards print them.
 def _label(page_text, pattern, strip=True):
     value = F.regexp_extract(page_text, pattern, 1)
     return text.nonblank(F.trim(value) if strip else value)
@@ -222,7 +223,9 @@ def board_listings(pages, board, as_of):
                            & ~F.contains(F.lower("title"), F.lit("get personalised job alerts")))
     else:
         rows = rows.filter((F.length("title") >= board.min_title) & ~F.lower("title").isin("", *board.stop_titles))
-    fields = {"title": _c("title"), **board.fields(_c("title"), _c("lines"), _c("url"), as_of)}
+    # Under another name: inside a lambda ``title`` would mean the field made here.
+    rows = rows.withColumnRenamed("title", "anchor")
+    fields = {"title": _c("anchor"), **board.fields(_c("anchor"), _c("lines"), _c("url"), as_of)}
     rows = rows.select(
         "seq", "pos", _c("url").alias("page_url"), urls.absolute_href(_c("url"), _c("href")).alias("job_url"),
         *[c.alias(n) for n, c in fields.items()])
@@ -314,11 +317,23 @@ def enrich_listings(listings, details, board, per_page=None):
     return joined.select(*[c.alias(n) for n, c in out.items()], F.when(~found, label).alias("degraded"))
 
 
-def adapt_board(listing_pages, detail_pages, board, as_of):
+def linked_pages(listings, pages):
+    """The detail pages ``(url, html)`` that a listing links to, each address once.
+
+    Cut down before anything is parsed, so that pages nobody links to cost a look at their address.  Of
+    several readings of an address the one with the smallest digest stays.
+    """
+    wanted = listings.select(_c("job_url").alias("url")).distinct()
+    linked = pages.select("url", "html").join(wanted, "url", "left_semi")
+    return unique_first(linked.withColumn("_order", F.xxhash64("html")), "url", "_order").drop("_order")
+
+
+def adapt_board(listing_pages, detail_pages, board, as_of, per_page=None):
     """Raw rows of a board; noise is dropped as the listing is read."""
     listings = board_listings(listing_pages, board, as_of)
     if board.meta is None:
         rows = conform(listings, RAW_SCHEMA)
     else:
-        rows = enrich_listings(listings, extract_details(detail_pages, board), board)
+        listings = cut_lineage(listings)  # their addresses choose the pages, their rows are joined to them
+        rows = enrich_listings(listings, extract_details(linked_pages(listings, detail_pages), board), board, per_page)
     return stage_boundary(rows).filter(looks_like_job(_c("title"), _c("description")))

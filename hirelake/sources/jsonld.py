@@ -8,8 +8,7 @@ from .feeds import POSITION_BITS
 
 _c = F.col
 _SCRIPT = r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script\s*>"""
-# Nesting of lists and @graph that is unfolded; published markup uses one or two levels.
-_DEPTH = 3
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
 
 
 def _unfold(v):
@@ -20,13 +19,29 @@ def _unfold(v):
         F.array(v))
 
 
+def _nesting(script):
+    """How deep lists are nested in a JSON text: the greatest number of open brackets."""
+    brackets = F.regexp_replace(F.regexp_replace(script, _STRING, ""), r"[^\[\]]", "")
+    start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most"))
+
+    def step(held, sign):
+        now = held["open"] + F.when(sign == "[", 1).when(sign == "]", -1).otherwise(0)
+        return F.struct(now.alias("open"), F.greatest(held["most"], now).alias("most"))
+
+    return F.aggregate(F.split(brackets, ""), start, step)["most"]
+
+
 def jsonld_items(html):
-    """All top-level JSON-LD objects of a page; unreadable scripts are skipped."""
-    docs = F.transform(F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1)), F.try_parse_json)
-    items = F.filter(docs, lambda v: v.isNotNull())
-    for _ in range(_DEPTH):
-        items = F.flatten(F.transform(items, _unfold))
-    return items
+    """All JSON-LD objects of a page, in lists and @graph lists of any depth; unreadable scripts are skipped.
+
+    Each round takes up one level of every item.  A list cannot lie deeper than its brackets, so their
+    nesting is the number of rounds.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(_SCRIPT), F.lit(1))
+    items = F.filter(F.transform(scripts, F.try_parse_json), lambda v: v.isNotNull())
+    rounds = F.array_max(F.transform(scripts, _nesting))
+    work = F.aggregate(F.sequence(F.lit(1), rounds), items, lambda held, _: F.flatten(F.transform(held, _unfold)))
+    return F.when(rounds > 0, work).otherwise(items)
 
 
 def job_postings(html):

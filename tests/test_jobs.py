@@ -10,6 +10,7 @@ from hirelake.operators.filters import filter_postings
 from hirelake.operators.normalise import looks_like_job, merge_payloads, normalise
 from hirelake.operators.ordering import page_postings
 from hirelake.plans.ingest import run_ingest
+from hirelake.schema import RAW_SCHEMA, conform
 from hirelake.session import cut_lineage, scratch_path
 from hirelake.sources import boards, csv_export, dom, store
 
@@ -181,3 +182,74 @@ def test_stored_table_prunes_sources_and_columns(spark):
     plan = hits.select("title")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(source" in plan and "description" not in plan
     assert hits.count() == 1
+
+
+def scans(df):
+    """Files scans in the plan that ran."""
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_statistics_scan_the_postings_once(spark):
+    from hirelake.operators import stats
+
+    jobs = normalise(raw(spark, [{"source": "lever", "title": f"Engineer {i}", "company": "Acme", "location": "Remote", "description": "sql",
+                                  "job_url": f"https://x.ex/{i}"} for i in range(4)]), as_of())
+    stored = cut_lineage(jobs)
+    assert scans(stats.kpi_cards(stored)) == 1 and scans(stats._counted(stored, "arrival")) == 1
+    assert {r["card"]: r["value"] for r in stats.kpi_cards(stored).collect()} == {
+        "tracked_jobs": "4", "remote_roles": "4", "top_source": "lever", "hot_skill": "sql"}
+    none = stats.posting_stats(stored.filter("false")).collect()
+    assert sorted((r["metric"], r["rank"], r["count"]) for r in none) == [("remote_jobs", 1, 0), ("total_jobs", 1, 0)]
+    assert {r["card"]: r["value"] for r in stats.kpi_cards(stored.filter("false")).collect()} == {
+        "tracked_jobs": "0", "remote_roles": "0", "top_source": "n/a", "hot_skill": "awaiting data"}
+
+
+def test_a_very_long_tag_is_read(spark):
+    from hirelake.operators.crawl import page_links
+
+    rows = [(1, "https://x.ex/", '<a href="/one" ' + "data-x " * 150_000 + 'title="a>b">One</a> <a href="/two">Two</a>'),
+            (2, "https://x.ex/", "<a " * 20_000), (3, "https://x.ex/", None)]
+    got = page_links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["href"], r["text"]) for r in got) == [(1, "/one", "One"), (1, "/two", "Two")]
+
+
+def test_json_ld_of_any_depth(spark):
+    from hirelake.sources import jsonld
+
+    item = '{"@type":"JobPosting","title":"Cook [a]","skills":["x",["y"]]}'
+    pages = ["[" * n + item + "]" * n for n in (0, 1, 8, 40)] + ['{"@graph":[' * n + item + "," + item + "]}" * n for n in (1, 8)]
+    pages += ['[[{"@graph":[[' + item + ']]}], {"@type":"Other"}, ' + item + "]", "{broken", '"text ]]] [[["', "[]"]
+    rows = [(i, f'<script type="application/ld+json">{p}</script>') for i, p in enumerate(pages)] + [(len(pages), "no script"), (len(pages) + 1, None)]
+    df = spark.createDataFrame(rows, "n int, html string").select("n", jsonld.job_postings(F.col("html")).alias("p"))
+    got = [r["k"] for r in df.select("n", F.size(F.coalesce("p", F.array().cast("array<variant>"))).alias("k")).orderBy("n").collect()]
+    assert got == [1, 1, 1, 1, 2, 2, 2, 0, 0, 0, 0, 0]
+
+
+def test_only_linked_detail_pages_are_parsed(spark):
+    listing = '<ul><li><a href="/job/clerk-1">Clerk one at Firm</a><p>based in Lagos</p></li></ul>'
+    lists = spark.createDataFrame([(0, "https://www.myjobmag.com/jobs", listing)], "seq bigint, url string, html string")
+    page = "<main><h1>Clerk</h1><p>Job Type Contract</p><p>Description</p><p>Text</p></main>"
+    pages = spark.createDataFrame([(f"https://www.myjobmag.com/job/clerk-{i}", page) for i in (1, 1, 2, 3)], "url string, html string")
+    board = boards.BOARDS["myjobmag"]
+    linked = boards.linked_pages(boards.board_listings(lists, board, as_of()), pages)
+    assert [r["url"] for r in linked.collect()] == ["https://www.myjobmag.com/job/clerk-1"]
+    [row] = boards.adapt_board(lists, pages, board, as_of()).collect()
+    assert (row["title"], row["job_type"], row["location"], row["description"]) == ("Clerk one", "Contract", "Lagos", "based in Lagos")
+
+
+def test_a_source_of_the_user_and_unknown_sources(spark):
+    from hirelake.sources import registry
+
+    landed = spark.createDataFrame([("mine", 0, "o", "Cook"), ("other", 0, "o", "x"), (None, 0, "o", "y")],
+                                   "source string, seq bigint, origin string, body string")
+    before = dict(registry.ADAPTERS)
+    registry.register("mine", lambda part: conform(part.select(
+        F.lit("mine").alias("source"), F.col("body").alias("title"), F.lit("Inn").alias("company"), F.lit("https://m.ex/1").alias("job_url"),
+        F.col("seq").alias("arrival")), RAW_SCHEMA))
+    try:
+        rows, errors = registry.collect_raw(landed, as_of(), detail_pages=None)
+        assert [(r["source"], r["title"]) for r in rows.filter("source = 'mine'").collect()] == [("mine", "Cook")]
+        assert {r["source"] for r in errors.filter("message LIKE 'no adapter%'").collect()} == {"other", None}
+    finally:
+        registry.ADAPTERS.clear()
+        registry.ADAPTERS.update(before)

@@ -30,7 +30,7 @@ NEIGHBOURS = 15
 SHARPNESS = 12
 THRESHOLD = 0.3
 FOLDS = 5
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 WORD_TERMS = 256
 WORD_WEIGHT = 0.3
 LENGTH_TERMS = 16

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..operators import crawl
-from ..sources import boards, dom, feeds, jsonld
+from ..sources import boards, dom, feeds, jsonld, registry
 from .registry import query, spread
 from .registry import table as _table
 from .views import with_views
@@ -30,8 +30,8 @@ def _orders(spark, sf_dir):
         "seq": _c("o_orderkey"), "o_orderdate": _c("o_orderdate").cast("timestamp")})
 
 
-def _landed(rows, body, origin):
-    return rows.select("seq", origin.alias("origin"), body.alias("body"))
+def _landed(rows, body, origin, *more):
+    return rows.select("seq", origin.alias("origin"), body.alias("body"), *more)
 
 
 _J = "orders JOIN customer ON o_custkey = c_custkey"
@@ -149,6 +149,30 @@ def ingest_errors(spark, sf_dir):
         F.count(F.lit(1)).alias("n"))
 
 
+_BODIES = {
+    "lever": ("Lever company", "unexpected shape", '{"id":1}', "[]"), "remoteok": ("RemoteOK feed", "unreadable response", "[{", "[]"),
+    "ashby": ("Ashby board", "unexpected shape", "[1]", "{}"), "weworkremotely": (
+        "WeWorkRemotely feed", "unreadable response", "<rss><channel><item></rss>", "<rss><channel><title>t</title></channel></rss>"),
+    "careerspage": ("CareersPage page", "empty page", " ", "<p>x</p>"), "fuzu": ("fuzu page", "empty page", "", "<p>x</p>"),
+}
+
+
+@query("source_errors", " UNION ALL ".join(
+    f"SELECT '{s}' AS source, '{label} ''' || c_mktsegment || ''' failed: {why}' AS message, count(*) AS n "
+    f"FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 6 = {i} AND o_orderkey % 5 = 1 GROUP BY ALL"
+    for i, (s, (label, why, _, _)) in enumerate(_BODIES.items())))
+def source_errors(spark, sf_dir):
+    """Messages of all kinds of sources, every fifth text of which is broken in the source's own way."""
+    k = _c("o_orderkey")
+    source, body = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for i, (s, (_, _, broken, whole)) in enumerate(_BODIES.items()):
+        source = F.when(k % 6 == i, s).otherwise(source)
+        body = F.when(k % 6 == i, F.when(k % 5 == 1, broken).otherwise(whole)).otherwise(body)
+    landed = _landed(_orders(spark, sf_dir).withColumn("source", source), body, _c("c_mktsegment"), "source")
+    _, errors = registry.collect_raw(landed, as_of(), list(_BODIES))
+    return errors.groupBy("source", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _jsonld_pages(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     k, s = _c("p_partkey"), _c("p_partkey").cast("string")

@@ -173,9 +173,30 @@ def adapt_ashby(landed):
     )
 
 
+def _failed(landed, source, label, why):
+    """(source, message) of the landed texts for which ``why`` gives a reason."""
+    return landed.select(F.lit(source).alias("source"), F.concat(
+        F.lit(label + " '"), F.coalesce("origin", F.lit("")), F.lit("' failed: "), why).alias("message")).filter(_c("message").isNotNull())
+
+
+#: What a JSON feed's response has to be.
+SHAPES = {"remoteok": "ARRAY", "lever": "ARRAY", "greenhouse": "OBJECT", "ashby": "OBJECT"}
+
+
 def feed_errors(landed, source, label):
-    """(source, message) for every landed response that is not readable JSON."""
-    bad = landed.filter(F.try_parse_json("body").isNull())
-    return bad.select(
-        F.lit(source).alias("source"),
-        F.concat(F.lit(label), F.lit(" '"), "origin", F.lit("' failed: unreadable response")).alias("message"))
+    """(source, message) for every landed response that is not readable JSON or not of the feed's shape."""
+    doc = F.try_parse_json("body")
+    wrong = ~F.schema_of_variant(doc).startswith(SHAPES.get(source, ""))
+    return _failed(landed, source, label, F.when(doc.isNull(), "unreadable response").when(wrong, "unexpected shape"))
+
+
+def rss_errors(landed, source, label):
+    """(source, message) for every landed feed that is not well-formed XML."""
+    read = F.from_xml("body", "channel string, broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    broken = _c("body").isNull() | ~F.contains("body", F.lit("<")) | read["broken"].isNotNull()
+    return _failed(landed, source, label, F.when(broken, "unreadable response"))
+
+
+def page_errors(landed, source, label):
+    """(source, message) for every landed page without any text."""
+    return _failed(landed, source, label, F.when(text.normalize_ws(_c("body")) == "", "empty page"))

@@ -18,7 +18,12 @@ ADAPTERS = {
     "careerspage": lambda landed: jsonld.adapt_careerspage(
         landed.select("seq", _c("origin").alias("url"), _c("body").alias("html"))),
 }
-_JSON_FEEDS = {"remoteok": "RemoteOK feed", "greenhouse": "Greenhouse board", "lever": "Lever company", "ashby": "Ashby board"}
+# What is wrong with landed texts, and how messages call the source.
+_CHECKS = {
+    "remoteok": (feeds.feed_errors, "RemoteOK feed"), "greenhouse": (feeds.feed_errors, "Greenhouse board"),
+    "lever": (feeds.feed_errors, "Lever company"), "ashby": (feeds.feed_errors, "Ashby board"),
+    "weworkremotely": (feeds.rss_errors, "WeWorkRemotely feed"), "careerspage": (feeds.page_errors, "CareersPage page"),
+}
 
 
 def register(source, adapter):
@@ -48,14 +53,16 @@ def collect_raw(landed, as_of, sources=None, detail_pages=None):
             pages = part.select("seq", _c("origin").alias("url"), _c("body").alias("html"))
             details = detail_pages if detail_pages is not None else pages.select("url", "html")
             raw = boards.adapt_board(pages, details, board, as_of)
+            errors.append(feeds.page_errors(part, source, f"{source} page"))
             if "degraded" in raw.columns:
                 errors.append(raw.filter(_c("degraded").isNotNull()).select(
                     F.lit(source).alias("source"), _c("degraded").alias("message")))
                 raw = raw.drop("degraded")
         else:
             raw = ADAPTERS[source](part)
-            if source in _JSON_FEEDS:
-                errors.append(feeds.feed_errors(part, source, _JSON_FEEDS[source]))
+            if source in _CHECKS:
+                check, label = _CHECKS[source]
+                errors.append(check(part, source, label))
         rows.append(raw)
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     return union(rows), union(errors)

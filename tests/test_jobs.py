@@ -253,3 +253,23 @@ def test_a_source_of_the_user_and_unknown_sources(spark):
     finally:
         registry.ADAPTERS.clear()
         registry.ADAPTERS.update(before)
+
+
+def test_run_report_is_written(spark):
+    from hirelake.plans.ingest import run_report
+
+    landed = spark.createDataFrame([
+        ("lever", 0, "acme", "{bad"), ("lever", 1, "beta", '{"id":1}'),
+        ("lever", 2, "acme", '[{"id":"L1","text":"Data Engineer","hostedUrl":"https://r.ex/7","categories":{"location":"Lagos"},"createdAt":1700000000000}]'),
+        ("weworkremotely", 3, "feed", "<rss><channel><item>"),
+    ], "source string, seq bigint, origin string, body string")
+    root = scratch_path(spark, "jobs")
+    run_ingest(spark, landed, root, "a", as_of(), sources=["weworkremotely", "lever"])
+    report = run_report(spark, root, "a")
+    assert sorted(r["message"] for r in report.errors.collect()) == [
+        "Lever company 'acme' failed: unreadable response", "Lever company 'beta' failed: unexpected shape",
+        "WeWorkRemotely feed 'feed' failed: unreadable response"]
+    total = report.total.first()
+    assert (total["total_collected"], total["total_inserted"], total["total_errors"]) == (1, 1, 3)
+    assert total["started_at"] <= total["finished_at"]
+    assert {r["source"]: (r["inserted"], r["errors"]) for r in report.sources.collect()} == {"lever": (1, 2), "weworkremotely": (0, 1)}

@@ -165,6 +165,8 @@ def _score(model):
                     for i in range(0, len(texts), 1024)])
             out = [rows.column("row").combine_chunks(), pa.array(np.clip(score, 0, 1).astype(np.float64))]
             yield pa.RecordBatch.from_arrays(out, names=["row", "score"])
+            del rows, texts, out
+            pa.default_memory_pool().release_unused()
 
     return run
 

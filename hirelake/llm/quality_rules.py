@@ -1,9 +1,10 @@
 """Host-level quality rules.
 
 Rules are counted per document, failures are summed per host, and the failure rates of the hosts are
-shrunk with a beta prior fitted to all hosts.  A host whose shrunken rate is surely above the limit
-is held to a stricter standard: its documents stay only if they fail no rule at all, while documents
-elsewhere may fail ``tolerance`` of the softer rules.
+shrunk with a beta prior fitted to all hosts.  The base rules and the symbol rule reject a document by
+themselves; the soft rules (repeated lines, capitals) reject it where they fail together.  A host whose
+shrunken rate is surely above the rate of all (its lower bound passes the prior's mean) is strict: there a
+document also goes if it breaks the symbol rule or a soft rule at half their limits.
 
 Only DataFrame functions are used.  Defined results:
 
@@ -25,9 +26,11 @@ REPEAT_PERCENT = 50
 SYMBOL_PERCENT = 50
 DUP_LINE_PERCENT = 30
 UPPER_PERCENT = 60
-HOST_LIMIT = 0.5
+#: A host is strict if its rate, less ``Z`` standard deviations, passes this multiple of the rate of all.
+HOST_FACTOR = 1.0
 Z = 2.0
-TOLERANCE = 2
+#: Divisor of the limits on strict hosts.
+STRICTER = 2
 
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "upper_case")
@@ -66,22 +69,22 @@ def with_metrics(rows):
     return out.drop("_w", "_n", "_t", "_lines", "_again", "_s")
 
 
-def rule_failures():
-    """One boolean per rule, over the columns of ``with_metrics``."""
+def rule_failures(divisor=1):
+    """One boolean per rule, over the columns of ``with_metrics``; ``divisor`` tightens all but the base rules."""
     c = F.col
     return {
         "few_words": c("n_words") < MIN_WORDS,
         "repeats": 100 * c("n_repeat_words") > REPEAT_PERCENT * c("n_words"),
-        "symbols": 100 * c("n_symbols") > SYMBOL_PERCENT * c("n_words"),
-        "dup_lines": 100 * c("n_dup_lines") > DUP_LINE_PERCENT * c("n_lines"),
-        "upper_case": 100 * c("n_upper") > UPPER_PERCENT * c("word_chars"),
+        "symbols": divisor * 100 * c("n_symbols") > SYMBOL_PERCENT * c("n_words"),
+        "dup_lines": divisor * 100 * c("n_dup_lines") > DUP_LINE_PERCENT * c("n_lines"),
+        "upper_case": divisor * 100 * c("n_upper") > UPPER_PERCENT * c("word_chars"),
     }
 
 
 def host_rates(judged):
     """Failure rate of each host, shrunk towards the rate of all.
 
-    Returns the table (host, host_docs, host_failed, host_rate, host_low) and its number of rows.
+    Returns the table (host, host_docs, host_failed, host_rate, host_strict) and its number of rows.
     The prior is the moment estimate of a beta-binomial: one row of sums reaches the driver.
     """
     hosts = cut_lineage(judged.groupBy("host").agg(
@@ -97,7 +100,7 @@ def host_rates(judged):
     strength = (1 - rho) / rho
     rate = (x + mean * strength) / (n + strength)
     low = F.col("host_rate") - Z * F.sqrt(F.col("host_rate") * (1 - F.col("host_rate")) / (n + strength + 1))
-    return hosts.withColumn("host_rate", rate).withColumn("host_low", low), k
+    return hosts.withColumn("host_rate", rate).withColumn("host_strict", low > HOST_FACTOR * mean), k
 
 
 def quality_rules(docs, text="text", host="source", carry=("doc_id",)):
@@ -111,15 +114,19 @@ def quality_rules(docs, text="text", host="source", carry=("doc_id",)):
     rows = with_metrics(rows).drop("text")
     fails = rule_failures()
     rows = rows.withColumns({f"fails_{r}": F.coalesce(fails[r], F.lit(False)) for r in RULES})
+    tight = rule_failures(STRICTER)
+    near = tight["symbols"] | tight["dup_lines"] | tight["upper_case"]
     base = F.col("fails_few_words") | F.col("fails_repeats")
+    hard = base | F.col("fails_symbols") | (F.col("fails_dup_lines") & F.col("fails_upper_case"))
     count = sum((F.col(f"fails_{r}").cast("int") for r in RULES[1:]), F.col(f"fails_{RULES[0]}").cast("int"))
-    judged = cut_lineage(rows.withColumns({"base_failed": base, "n_failed": count, "failed": count > 0}))
+    judged = cut_lineage(rows.withColumns({
+        "base_failed": base, "hard_failed": hard, "near_failed": F.coalesce(near, F.lit(False)),
+        "n_failed": count, "failed": count > 0}))
     rates, k = host_rates(judged)
     out = join_side(judged, rates, "host", k, ["_carry"], "inner")
-    strict = F.col("host_low") > HOST_LIMIT
-    kept = ~F.col("base_failed") & (F.col("n_failed") < F.when(strict, 1).otherwise(TOLERANCE))
-    return out.withColumn("host_rejected", strict).withColumn("kept", kept).select(
-        "_carry.*", *METRICS, "base_failed", "kept", "n_failed", "host_rate", "host_rejected")
+    kept = ~F.col("hard_failed") & ~(F.col("host_strict") & F.col("near_failed"))
+    return out.withColumn("kept", kept).select(
+        "_carry.*", *METRICS, "base_failed", "kept", "n_failed", "host_rate", "host_strict")
 
 
 def keep_good(docs):
@@ -143,17 +150,19 @@ m AS (SELECT doc_id, host, len(w)::BIGINT AS n_words,
         (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, len(l)::BIGINT AS n_lines,
         length(regexp_replace(text, '[^A-Z]', '', 'g'))::BIGINT AS n_upper,
         coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
-f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
-        (n_words < {MIN_WORDS})::INT + (100 * n_repeat_words > {REPEAT_PERCENT} * n_words)::INT
-        + (100 * n_symbols > {SYMBOL_PERCENT} * n_words)::INT + (100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines)::INT
-        + (100 * n_upper > {UPPER_PERCENT} * word_chars)::INT AS n_failed FROM m),
-h AS (SELECT host, count(*)::DOUBLE AS n, sum((n_failed > 0)::INT)::DOUBLE AS x FROM f GROUP BY host),
+f AS (SELECT *, n_words < {MIN_WORDS} AS r1, 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS r2,
+        100 * n_symbols > {SYMBOL_PERCENT} * n_words AS r3, 100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines AS r4,
+        100 * n_upper > {UPPER_PERCENT} * word_chars AS r5,
+        {STRICTER} * 100 * n_symbols > {SYMBOL_PERCENT} * n_words OR {STRICTER} * 100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines
+        OR {STRICTER} * 100 * n_upper > {UPPER_PERCENT} * word_chars AS near FROM m),
+h AS (SELECT host, count(*)::DOUBLE AS n, sum((r1 OR r2 OR r3 OR r4 OR r5)::INT)::DOUBLE AS x FROM f GROUP BY host),
 s AS (SELECT count(*) AS k, sum(n) AS n, sum(n * n) AS nn, sum(x) AS x, sum(x * x / n) AS xx,
         (sum(x) + 0.5) / (sum(n) + 1.0) AS mean FROM h),
 p AS (SELECT mean, least(greatest(CASE WHEN n - nn / n - (k - 1) > 0 THEN
         ((xx - x * x / n) / (mean * (1 - mean)) - (k - 1)) / (n - nn / n - (k - 1)) ELSE 0.5 END, 1e-4), 0.9) AS rho FROM s),
-q AS (SELECT host, n, (x + mean * ((1 - rho) / rho)) / (n + (1 - rho) / rho) AS host_rate, (1 - rho) / rho AS strength FROM h, p)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND n_failed < CASE WHEN host_rate - {Z} * sqrt(host_rate * (1 - host_rate) / (q.n + strength + 1)) > {HOST_LIMIT}
-    THEN 1 ELSE {TOLERANCE} END AS kept FROM f JOIN q USING (host)
+q AS (SELECT host, n, mean, (x + mean * ((1 - rho) / rho)) / (n + (1 - rho) / rho) AS host_rate, (1 - rho) / rho AS strength FROM h, p)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, r1 OR r2 AS base_failed,
+  NOT (r1 OR r2 OR r3 OR (r4 AND r5)) AND NOT (near AND
+    host_rate - {Z} * sqrt(host_rate * (1 - host_rate) / (q.n + strength + 1)) > {HOST_FACTOR} * mean) AS kept
+FROM f JOIN q USING (host)
 """

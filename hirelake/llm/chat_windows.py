@@ -3,9 +3,10 @@
 The turns of a conversation, in order of turn number, are cut into windows at turn boundaries.
 Prefix sums of the turns' token counts choose the spans, so no conversation is walked turn by turn:
 a window holds the turns whose prefix starts in the same half budget, and a turn longer than half a
-budget has a window of its own.  New turns, history and a system turn within its share therefore fit
-the budget unless a single turn is longer than half.  Each window repeats the system turn and as many
-earlier turns as fit into the history budget; repeated turns are never targets, so each assistant
+budget has a window of its own.  Each window repeats the system turn, if it fits into its share of the
+budget (``SYSTEM`` tokens; a longer one stands in its own place only), and as many earlier turns as fit
+into the history budget.  A window is therefore over ``BUDGET`` only if one turn alone passes the room
+for new turns, ``2 * HALF``; turns are never cut.  Repeated turns are never targets, so each assistant
 text is under the loss mask exactly once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside roles and texts every ``<`` followed by
@@ -119,7 +120,7 @@ def chat_windows(conversations, count=token_count):
     past = old.filter(~F.col("is_system")).withColumn("w_bucket", F.explode(reach)).join(
         heads, ["conv", "w_bucket"]).filter("pos < w_pos AND w_start - start <= %d" % HISTORY)
     past = past.withColumn("kind", F.lit(1)).select("conv", F.col("w_pos").alias("window"), piece)
-    again = old.filter("is_system").join(heads, "conv").filter("w_pos > pos")
+    again = old.filter(f"is_system AND tokens <= {SYSTEM}").join(heads, "conv").filter("w_pos > pos")
     again = again.withColumn("kind", F.lit(0)).select("conv", F.col("w_pos").alias("window"), piece)
     made = new.unionByName(past).unionByName(again).groupBy("conv", "window").agg(
         F.sort_array(F.collect_list("p")).alias("p"))
@@ -181,7 +182,7 @@ s AS (SELECT *, sum(tokens) OVER w - tokens AS start, row_number() OVER w - 1 AS
 b AS (SELECT *, min(pos) OVER (PARTITION BY conv_id, start // {HALF}, 2 * longs + (tokens > {HALF})::INT) AS win FROM s),
 h AS (SELECT conv_id, pos, start FROM b WHERE pos = win),
 r AS (SELECT b.conv_id, sum(chars) AS chars FROM b JOIN h ON b.conv_id = h.conv_id AND b.pos < h.pos
-        AND (b.is_system OR h.start - b.start <= {HISTORY}) GROUP BY ALL),
+        AND (b.is_system AND b.tokens <= {SYSTEM} OR h.start - b.start <= {HISTORY}) GROUP BY ALL),
 n AS (SELECT conv_id, count(*) AS n_turns, sum(chars) AS chars,
     sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = '{LOSS_ROLE}'), '') AS loss FROM b GROUP BY conv_id)

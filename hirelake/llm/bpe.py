@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import scratch_path
-from .common import byte_lengths, pack_ints, portions, small_batches, spans, unpack_ints
+from .common import byte_lengths, give_back, pack_ints, portions, small_batches, spans, unpack_ints
 
 BLOCK_BYTES = 8 << 20
 BUCKETS = 256  # at least; as many as the shuffle has partitions, so that all of them have words
@@ -97,7 +97,7 @@ def _to_blocks(id_type, buckets):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], type=f.type) for k, f in enumerate(schema)], schema=schema)
             del rows, texts, split, flat, keep, coded, found, order, by_name, home, by_home, out
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
@@ -147,6 +147,9 @@ def _encode_words(vocabulary, most=TABLE_WORDS):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
                 names=["block", "bucket", "data"])
+            give_back()
+        del known
+        give_back()
 
     return run
 
@@ -179,7 +182,7 @@ def _put_back(id_type, pieces):
                         schema=schema)
                     a = b
                 del row, of_bucket, order, codes, got, lens, starts, pool
-                pa.default_memory_pool().release_unused()
+                give_back()
 
     return run
 

@@ -1,5 +1,7 @@
 """Small helpers that the corpus operators share."""
 
+import ctypes
+
 import numpy as np
 import zstandard
 from pyspark.sql import functions as F
@@ -14,6 +16,19 @@ BROADCAST_ROWS = 100_000
 SALTS = 16
 
 
+def give_back():
+    """Return the freed memory of a Python worker to the machine, that of Arrow and of the C library.
+
+    Workers live through many stages; what an earlier one has freed would else stay with them.
+    """
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import byte_lengths, join_side, portions, small_batches, stored
+from .common import byte_lengths, give_back, join_side, portions, small_batches, stored
 
 WORDS = 5
 PERCENT = 75
@@ -120,7 +120,7 @@ def _features(id_type):
                 pa.array([None if x is None else band_keys(x) for x in lows], schema.field("bands").type),
                 pa.array([None if x is None else x[:CHECKED].astype("<u2").tobytes() for x in lows], pa.binary())], schema=schema)
             del rows, sets, lows
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 
@@ -193,7 +193,7 @@ def _listed(batches):
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate(data)))
         yield pa.RecordBatch.from_arrays([rows.column("rep").combine_chunks(), pa.array(n), lists], names=["rep", "n", "shingles"])
         del rows, data, lists
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def _with_both(pairs, side, value, out):

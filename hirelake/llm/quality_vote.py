@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_lengths, fold, portions, small_batches
+from .common import byte_lengths, fold, give_back, portions, small_batches
 
 SAMPLE = 4096
 RANK = 48
@@ -166,7 +166,7 @@ def _score(model):
             out = [rows.column("row").combine_chunks(), pa.array(np.clip(score, 0, 1).astype(np.float64))]
             yield pa.RecordBatch.from_arrays(out, names=["row", "score"])
             del rows, texts, out
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

@@ -8,6 +8,7 @@ import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions.text import let, normalize_ws, text_lines, text_or_empty
@@ -19,6 +20,8 @@ _NODE_PA = pa.list_(pa.struct([
     ("t0", pa.int32()), ("t1", pa.int32()), ("h0", pa.int32()), ("h1", pa.int32())]))
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _SILENT = frozenset(("script", "style", "template"))
+#: Pages that a task holds as parsed trees at a time: so many at most, and so many bytes of markup (one page at least).
+PORTION_ROWS, PORTION_BYTES = 128, 1 << 20
 
 
 class _Outline(HTMLParser):
@@ -79,14 +82,30 @@ def with_nodes(pages, html="html"):
 
     def outline(batches):
         for batch in batches:
-            trees = [_Outline(v or "") for v in batch.column(names.index(html)).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([t.nodes for t in trees], _NODE_PA),
-                 pa.array([t.texts for t in trees], pa.list_(pa.string()))], [*names, "nodes", "texts"])
+            for part in portions(batch, names.index(html)):
+                trees = [_Outline(v or "") for v in part.column(names.index(html)).to_pylist()]
+                nodes = pa.array([t.nodes for t in trees], _NODE_PA)
+                texts = pa.array([t.texts for t in trees], pa.list_(pa.string()))
+                del trees  # not held while the rows are sent
+                yield pa.RecordBatch.from_arrays([*part.columns, nodes, texts], [*names, "nodes", "texts"])
+                del nodes, texts
 
     return pages.mapInArrow(outline, schema)
 
 
+def portions(batch, index, rows=None, size=None):
+    """Slices of an Arrow batch by rows and by bytes of one text column, cut between rows only."""
+    rows, size = rows or PORTION_ROWS, size or PORTION_BYTES
+    at = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(index)), 0).to_pylist()):
+        if i > at and (i - at >= rows or held + n > size):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
 def node_text(node, sep=" "):
     """Text nodes inside an element, joined."""
     return F.array_join(F.slice(_c("texts"), node["t0"] + 1, node["t1"] - node["t0"]), sep)

@@ -173,7 +173,36 @@ def _moved(rows):
 
 
 def _settled(rows):
-    return rows.withColumns({"rec": _c("new_rec"), "top": _c("new_top")}).drop("new_rec", "new_top")
+    """The new guesses.  A row that joins another record was judged against the one it left: most rows take
+    no record over, and as a false leader it would send others on the same way, one in each round."""
+    joined = F.when(_c("rec") == _c("new_rec"), _c("new_top")).otherwise(_c("new_rec") == _c("t"))
+    return rows.withColumns({"rec": _c("new_rec"), "top": joined}).drop("new_rec", "new_top")
+
+
+def _followed(rows, others=None):
+    """``new_rec`` followed to where the record's first row has gone itself; ``bent`` tells such rows.
+
+    A record is named after its first row, so a row that is sent to a record whose first row is no longer
+    its own was read from a stale guess.  Steps double, so a chain of any length is followed at once and
+    does not cost a round per link.  It only improves the guess: bent rows are read again every round and
+    none is left when the guesses rest.
+    """
+    aims = rows.filter(_c("t") != _c("new_rec")).select(_c("new_rec").alias("head")).distinct()
+    placed = rows.select(_c("t").alias("head"), _c("new_rec").alias("to"))
+    if others is not None:
+        placed = placed.unionByName(others.select(_c("t").alias("head"), _c("rec").alias("to")))
+    gone = cut_lineage(placed.filter(_c("head") != _c("to")).join(aims, "head", "left_semi"))
+    if gone.isEmpty():
+        return rows.withColumn("bent", F.lit(False))
+    while True:
+        onward = gone.select(_c("head").alias("to"), _c("to").alias("next"))
+        gone = cut_lineage(gone.select("head", "to").join(onward, "to", "left").select(
+            "head", F.coalesce("next", "to").alias("to"), _c("next").isNotNull().alias("more")))
+        if gone.filter("more").isEmpty():
+            break
+    found = rows.join(gone.select(_c("head").alias("new_rec"), "to"), "new_rec", "left")
+    return cut_lineage(found.withColumns({
+        "bent": _c("to").isNotNull(), "new_rec": F.coalesce("to", "new_rec")}).select(rows.columns))
 
 
 def _settle(active, stored_writes, start=None):
@@ -194,17 +223,19 @@ def _settle(active, stored_writes, start=None):
     hit = _look_up(_reads(judged), _writes(judged, "leaves", "rec"), stored_writes)
     # ``writes`` are what a row has left in the index, ``owner`` is the record it did so for.
     everyone = cut_lineage(judged.join(hit, "t", "left").withColumns({
-        "new_rec": F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")), "owner": _c("rec")}).drop(
-        "hit").withColumnRenamed("leaves", "writes"))
+        "new_rec": F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")), "owner": _c("rec"),
+        "bent": F.lit(False)}).drop("hit").withColumnRenamed("leaves", "writes"))
+    everyone = _followed(everyone)
     touched, base, patch = _moved(everyone), _settled(everyone), None
     while True:
         current = base if patch is None else base.join(patch.select("t"), "t", "left_anti").unionByName(patch)
-        if touched.isEmpty():
+        bent = current.filter("bent").select("t")
+        if touched.isEmpty() and bent.isEmpty():
             return current
         judged = _judge(current.join(touched, "rec", "left_semi"))
         both = _writes(judged, "writes", "owner").unionByName(_writes(judged, "leaves", "rec"))
         changed = both.groupBy("sig", "t", "owner").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("sig").distinct()
-        concerned = _reads(current).join(changed, "sig", "left_semi").select("t").distinct()
+        concerned = _reads(current).join(changed, "sig", "left_semi").select("t").unionByName(bent).distinct()
         reads = cut_lineage(_reads(current).join(concerned, "t", "left_semi"))
         readers = reads.select("t").distinct()
         renewed = judged.withColumns({"writes": _c("leaves"), "owner": _c("rec")}).drop("leaves")
@@ -216,6 +247,7 @@ def _settle(active, stored_writes, start=None):
         again = again.join(readers.withColumn("_reads", F.lit(True)), "t", "left").join(hit, "t", "left")
         again = cut_lineage(again.withColumn("new_rec", F.when(
             _c("_reads"), F.coalesce("hit", "t")).otherwise(_c("rec"))).drop("_reads", "hit"))
+        again = _followed(again, rest)
         touched = _moved(again)
         again = _settled(again)
         if patch is not None:

@@ -208,8 +208,9 @@ def merge_replay(spark, sf_dir):
 @query("ingest_stream")
 def ingest_stream(spark, sf_dir):
     """Documents as a stream of raw rows merged into a new table; returns the table in stored order."""
-    path = f"{sf_dir}/documents.parquet"
-    docs = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    schema = _table(spark, sf_dir, "documents").schema
+    # A pattern, as a stream takes a plain path for a folder: the table may be one file or a folder of them.
+    docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")
     raw = spark.sql(RAW.replace("FROM documents", "FROM {src}"), src=docs).withColumnRenamed("url", "job_url").drop("text", "lang")
     root = scratch_path(spark, "table")
     run = start_ingest(raw.withColumn("posted_text", F.lit("2024-02-03")), root, scratch_path(spark, "progress"), as_of())

@@ -191,7 +191,9 @@ def _followed(rows, others=None):
     placed = rows.select(_c("t").alias("head"), _c("new_rec").alias("to"))
     if others is not None:
         placed = placed.unionByName(others.select(_c("t").alias("head"), _c("rec").alias("to")))
-    gone = cut_lineage(placed.filter(_c("head") != _c("to")).join(aims, "head", "left_semi"))
+    # Rows may share a number (repeated arrivals); each head leads to one place.
+    gone = cut_lineage(placed.filter(_c("head") != _c("to")).join(aims, "head", "left_semi").groupBy("head").agg(
+        F.min("to").alias("to")))
     if gone.isEmpty():
         return rows.withColumn("bent", F.lit(False))
     while True:

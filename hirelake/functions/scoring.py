@@ -49,12 +49,16 @@ def completeness():
 def signature_list(source, job_id, url_key, title, company, city, country, job_type):
     """Match keys in priority order; ``url_key`` is already canonical and lower-cased."""
     low = lambda c: F.lower(normalize_ws(c))
-    t, co = low(title), low(company)
+    return joined_signatures(source, F.lower(job_id), url_key, low(title), low(company), low(city), low(country), low(job_type))
+
+
+def joined_signatures(source, job_id, url_key, title, company, city, country, job_type):
+    """``signature_list`` of values that are lower-cased and tidied already."""
+    t, co, city, country, job_type = map(text_or_empty, (title, company, city, country, job_type))
     return F.array_compact(F.array(
-        F.when(_given(job_id), F.concat(F.lit("source-id:"), source, F.lit(":"), F.lower(job_id))),
+        F.when(_given(job_id), F.concat(F.lit("source-id:"), source, F.lit(":"), job_id)),
         F.when(_given(url_key), F.concat(F.lit("url:"), url_key)),
-        F.when((t != "") & (co != ""), F.concat(
-            F.lit("content:"), F.concat_ws("|", t, co, low(city), low(country), low(job_type)))),
+        F.when((t != "") & (co != ""), F.concat(F.lit("content:"), F.concat_ws("|", t, co, city, country, job_type))),
     ))
 
 

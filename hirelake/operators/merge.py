@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring
-from ..functions.text import distinct_lower, is_blank
+from ..functions.text import distinct_lower, is_blank, normalize_ws
 from ..schema import POSTING_SCHEMA
 from ..session import cut_lineage
 from .ordering import with_rank
-from .running import running_before
+from .running import crowded, running_before
 
 _c = F.col
 
@@ -35,6 +35,11 @@ PICKED = (
     "salary_text", "salary_currency", "salary_interval",
 )
 _SIGNED = ("source_job_id", "url_key", "title", "company", "location_city", "location_country", "job_type")
+_MOMENTS = ("posted_at", "scraped_at", "discovered_at")
+# What the rounds of guessing read of a row.
+_GUESSED = ("t", "stored", "source", *_SIGNED, "company_ok", "location_ok", "n_sections", "skills", "mask", "score", "n_skills", "signatures")
+# Arrivals that fill at least one number in so many serve as row numbers themselves.
+SPARSE = 64
 # Parts of the score that can only be gained: true as soon as one row of the record has them.
 _GAINED = (0, 3, 4, 5, 6, 7, 8, 10, 11, 12)
 
@@ -80,27 +85,53 @@ def unmatched(existing, incoming, key="arrival"):
 
 
 def _control(postings):
-    """The narrow columns that decide matching and precedence; wide texts stay behind."""
+    """The narrow columns that decide matching, precedence and changes; wide texts stay behind."""
     flags = scoring.score_flags()
     mask = F.lit(0).cast("bigint")
     for bit in _GAINED:
         mask = mask.bitwiseOR(F.when(flags[bit], 1 << bit).otherwise(0).cast("bigint"))
-    blank_free = lambda n: F.when(~is_blank(_c(n)), _c(n))
-    key = scoring.url_key()
-    narrow = postings.select(
+    # Each text is tidied once; records put signatures together from the tidy values.
+    low = {n: F.lower(_c(n)) if n == "source_job_id" else F.lower(normalize_ws(_c(n))) for n in _SIGNED if n != "url_key"}
+    tidy = postings.withColumns({**{f"_low_{n}": c for n, c in low.items()}, "_low_url_key": scoring.url_key(), **_lists()})
+    own = lambda n: _c(f"_low_{n}")
+    return tidy.select(
         "arrival", _c("_stored").alias("stored"), "id", "source",
-        *[blank_free(n).alias(n) for n in _SIGNED if n != "url_key"],
-        F.when(key != "", key).alias("url_key"),
+        *[F.when(~is_blank(_c(n)), own(n)).alias(n) for n in _SIGNED if n != "url_key"],
+        F.when(own("url_key") != "", own("url_key")).alias("url_key"),
         F.when(~is_blank(_c("company")), flags[1]).alias("company_ok"),
         F.when(~is_blank(_c("location")), flags[2]).alias("location_ok"),
         F.when(F.size("description_sections") > 0, F.size("description_sections")).alias("n_sections"),
-        distinct_lower(F.concat(F.coalesce("skills", F.array()), F.coalesce("tags", F.array()))).alias("skills"),
+        _c("_skills").alias("skills"),
         mask.alias("mask"),
         scoring.completeness().alias("score"),
         F.size("skills").alias("n_skills"),
-        scoring.job_signatures().alias("signatures"),
+        scoring.joined_signatures(_c("source"), *map(own, _SIGNED)).alias("signatures"),
+        *_facts(),
     )
-    return narrow
+
+
+def _lists():
+    """The skills and the sources of a row, tidied."""
+    tidy = lambda a, b: distinct_lower(F.concat(F.coalesce(a, F.array()), F.coalesce(b, F.array())))
+    return {"_skills": tidy("skills", "tags"), "_sources": tidy("aggregated_sources", F.array("source"))}
+
+
+def _facts():
+    """What decides whether a row changes its record and which row fills a field; reads ``_lists``."""
+    bits = F.lit(0).cast("bigint")
+    tests = [~is_blank(_c(n)) for n in PICKED] + [
+        F.size("description_sections") > 0, _c("salary_min").isNotNull(), _c("salary_max").isNotNull()]
+    for i, test in enumerate(tests):
+        bits = bits.bitwiseOR(F.when(test, 1 << i).otherwise(0).cast("bigint"))
+    named = lambda mark, items: F.transform(items, lambda x: F.concat(F.lit(mark), x))
+    items = F.concat(named("k:", "_skills"), named("s:", "_sources"))
+    return bits.alias("bits"), items.alias("items"), *[F.unix_micros(n).alias(n) for n in _MOMENTS]
+
+
+def _repeats(df):
+    """Whether some arrival comes more than once."""
+    counts = df.filter(_c("arrival").isNotNull()).groupBy("arrival").agg(F.count(F.lit(1)).alias("n"))
+    return not counts.filter("n > 1").isEmpty()
 
 
 def _gained(mask):
@@ -116,22 +147,34 @@ def _score(mask, company_ok, location_ok, n_sections, n_skills):
     )
 
 
-def _new_skills(rows, rec="rec", t="t"):
-    """How many skills each row adds to its record."""
-    first = rows.select(rec, t, F.explode("skills").alias("skill")).groupBy(rec, "skill").agg(F.min(t).alias(t))
-    return first.groupBy(t).agg(F.count(F.lit(1)).alias("added"))
+def _firsts(rows, items="skills"):
+    """(rec, t), once for each item that row ``t`` brings to its record first."""
+    return rows.select("rec", "t", F.explode(items).alias("item")).groupBy("rec", "item").agg(F.min("t").alias("t")).select("rec", "t")
 
 
-def _judge(rows):
-    """Whole records with each row's better guess ``new_top`` and the signatures it ``leaves`` in the index."""
-    enriched = rows.join(_new_skills(rows), "t", "left")
+def _judge(rows, repeats, hot):
+    """Whole records with each row's better guess ``new_top`` and the signatures it ``leaves`` in the index.
+
+    A row's first guess, if it has none: a record scores at least as high as any of its rows, so a take-over
+    is mostly a new maximum.
+    """
+    if repeats:  # rows that share a number count their skills each
+        added = _firsts(rows).groupBy("t").agg(F.count(F.lit(1)).alias("added"))
+        events = rows.join(added, "t", "left").withColumn("at", _c("t") * 2)
+    else:
+        # First skills stand among the rows, right after the row that brings them.
+        news = _firsts(rows).select("rec", (_c("t") * 2 + 1).alias("at"), F.lit(1).cast("bigint").alias("added"))
+        events = rows.withColumn("at", _c("t") * 2).unionByName(news, allowMissingColumns=True)
+    if "top" not in rows.columns:
+        events = running_before(events, "rec", "at", {"_best": ("max", _c("score"))}, hot=hot).withColumn(
+            "top", (_c("rec") == _c("t")) | F.coalesce(_c("score") > _c("_best"), F.lit(False)))
     lead = lambda n: F.when(_c("top"), _c(n))
     specs = {"p_mask": ("bit_or", _c("mask")), "p_added": ("sum", _c("added")),
              "p_source": ("last", lead("source"))}
     for n in (*_SIGNED, "company_ok", "location_ok", "n_sections"):
         specs[f"l_{n}"] = ("last", lead(n))
         specs[f"f_{n}"] = ("first", _c(n))
-    seen = running_before(enriched, "rec", "t", specs)
+    seen = running_before(events, "rec", "at", specs, hot=hot).filter(_c("t").isNotNull())
     before = lambda n: F.coalesce(_c(f"l_{n}"), _c(f"f_{n}"))
     first_row = _c("rec") == _c("t")
     beats = _c("score") > _score(_c("p_mask"), before("company_ok"), before("location_ok"),
@@ -140,9 +183,10 @@ def _judge(rows):
     after = {n: F.when(_c("new_top"), F.coalesce(_c(n), before(n))).otherwise(F.coalesce(before(n), _c(n)))
              for n in _SIGNED}
     source = F.when(_c("new_top"), _c("source")).otherwise(F.coalesce(_c("p_source"), _c("source")))
-    leaves = scoring.signature_list(source, *[after[n] for n in _SIGNED])
+    leaves = scoring.joined_signatures(source, *[after[n] for n in _SIGNED])
+    kept = rows.columns if "top" in rows.columns else [*rows.columns, "top"]
     # Read several times, so it is written out once.
-    return cut_lineage(seen.select(*rows.columns, "new_top", leaves.alias("leaves")))
+    return cut_lineage(seen.select(*kept, "new_top", leaves.alias("leaves")))
 
 
 def _reads(rows):
@@ -153,7 +197,7 @@ def _writes(rows, signatures, owner):
     return rows.filter(~_c("stored")).select(F.explode(signatures).alias("sig"), "t", _c(owner).alias("owner"))
 
 
-def _look_up(reads, writes, stored_writes):
+def _look_up(reads, writes, stored_writes, hot):
     """(t, hit): the owner of a row's first signature that was in the index right before the row."""
     events = (
         reads.select("sig", "prio", (_c("t") * 2).alias("at"), "t", F.lit(None).cast("bigint").alias("owner"))
@@ -161,7 +205,7 @@ def _look_up(reads, writes, stored_writes):
         .unionByName(stored_writes)
     )
     # One row may name a signature once only, so (sig, at) is unique.
-    looked_up = running_before(events, "sig", "at", {"hit": ("last", _c("owner"))}).filter(
+    looked_up = running_before(events, "sig", "at", {"hit": ("last", _c("owner"))}, hot=hot).filter(
         _c("prio").isNotNull() & _c("hit").isNotNull())
     return looked_up.groupBy("t").agg(F.min_by("hit", "prio").alias("hit"))
 
@@ -207,22 +251,14 @@ def _followed(rows, others=None):
         "bent": _c("to").isNotNull(), "new_rec": F.coalesce("to", "new_rec")}).select(rows.columns))
 
 
-def _settle(active, stored_writes, start=None):
-    """Iterate until no guess changes.  There is no cap: the loop ends when the result is exact."""
-    if start is None:
-        first = _pairs(active, "t", "stored")
-        lowest = first.groupBy("sig").agg(F.min("t").alias("low"))
-        guess = first.join(lowest, "sig").filter((_c("low") < _c("t")) & ~_c("stored")).groupBy("t").agg(
-            F.min_by("low", "prio").alias("low"))
-        rows = active.join(guess, "t", "left").withColumn("rec", F.coalesce("low", "t")).drop("low")
-        # A record scores at least as high as any of its rows, so a take-over is mostly a new maximum.
-        rows = running_before(rows, "rec", "t", {"_best": ("max", _c("score"))}).withColumn(
-            "top", (_c("rec") == _c("t")) | F.coalesce(_c("score") > _c("_best"), F.lit(False))).drop("_best")
-    else:
-        rows = active.join(start, "t", "left").withColumns({
-            "rec": F.coalesce("rec", "t"), "top": F.coalesce(_c("top"), F.lit(True))})
-    judged = _judge(rows)
-    hit = _look_up(_reads(judged), _writes(judged, "leaves", "rec"), stored_writes)
+def _settle(rows, stored_writes, repeats):
+    """Iterate until no guess changes.  There is no cap: the loop ends when the result is exact.
+
+    ``rows`` have a guess of their record, and of ``top`` unless they come for the first time."""
+    judged = _judge(rows, repeats, crowded(rows, "rec"))
+    reads, writes = _reads(judged), _writes(judged, "leaves", "rec")
+    named = crowded(reads.select("sig").unionByName(writes.select("sig")).unionByName(stored_writes.select("sig")), "sig")
+    hit = _look_up(reads, writes, stored_writes, named)
     # ``writes`` are what a row has left in the index, ``owner`` is the record it did so for.
     everyone = cut_lineage(judged.join(hit, "t", "left").withColumns({
         "new_rec": F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")), "owner": _c("rec"),
@@ -234,7 +270,7 @@ def _settle(active, stored_writes, start=None):
         bent = current.filter("bent").select("t")
         if touched.isEmpty() and bent.isEmpty():
             return current
-        judged = _judge(current.join(touched, "rec", "left_semi"))
+        judged = _judge(current.join(touched, "rec", "left_semi"), repeats, crowded(current, "rec"))
         both = _writes(judged, "writes", "owner").unionByName(_writes(judged, "leaves", "rec"))
         changed = both.groupBy("sig", "t", "owner").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("sig").distinct()
         concerned = _reads(current).join(changed, "sig", "left_semi").select("t").unionByName(bent).distinct()
@@ -244,7 +280,7 @@ def _settle(active, stored_writes, start=None):
         rest = current.join(judged.select("t"), "t", "left_anti")
         names = reads.select("sig").distinct()
         writes = _writes(rest, "writes", "owner").unionByName(_writes(renewed, "writes", "owner"))
-        hit = _look_up(reads, writes.join(names, "sig", "left_semi"), stored_writes.join(names, "sig", "left_semi"))
+        hit = _look_up(reads, writes.join(names, "sig", "left_semi"), stored_writes.join(names, "sig", "left_semi"), named)
         again = renewed.unionByName(rest.join(readers, "t", "left_semi").withColumn("new_top", _c("top")))
         again = again.join(readers.withColumn("_reads", F.lit(True)), "t", "left").join(hit, "t", "left")
         again = cut_lineage(again.withColumn("new_rec", F.when(
@@ -257,41 +293,57 @@ def _settle(active, stored_writes, start=None):
         patch = again
 
 
-def _replay(control):
-    """Decisions (arrival, t, rec, top) for the rows whose signatures meet; all others stand alone.
+def _numbered(control):
+    """(rows with number ``t`` in arrival order, whether numbers repeat); existing rows come first.
 
-    ``t`` numbers the rows without gaps in arrival order, so that ranges of it hold equal shares.
+    ``t`` is the distance from the first arrival, so that ranges of it hold about equal shares; arrivals that
+    lie far apart, or repeat, are sorted and counted instead.
     """
-    numbered = with_rank(control.select("arrival").orderBy("arrival"), "t")
-    control = cut_lineage(control.join(numbered, "arrival"))
+    spans = {r["stored"]: r for r in control.groupBy("stored").agg(
+        F.min("arrival").alias("low"), F.max("arrival").alias("high"), F.count("arrival").alias("n")).collect() if r["n"]}
+    repeats = _repeats(control)
+    if repeats or any(r["high"] - r["low"] >= SPARSE * r["n"] for r in spans.values()):
+        ranks = with_rank(control.select("arrival").filter(_c("arrival").isNotNull()).orderBy("arrival"), "t")
+        return cut_lineage(control.join(ranks, "arrival", "left")), repeats
+    t, used = F.lit(None).cast("bigint"), 1
+    for stored in (True, False):
+        if stored in spans:
+            low, high = spans[stored]["low"], spans[stored]["high"]
+            t, used = F.when(_c("stored") == stored, _c("arrival") - low + used).otherwise(t), used + high - low + 1
+    return control.withColumn("t", t), False
+
+
+def _replay(control, repeats):
+    """Decisions (t, rec, top) for the rows whose signatures meet; all others stand alone."""
+    control = control.filter(_c("t").isNotNull())
     stored = control.filter("stored")
     keeper = stored.groupBy("id").agg(F.max("t").alias("keep"))
     stored = stored.join(keeper, "id")
     stored_writes = cut_lineage(stored.select(
         F.explode("signatures").alias("sig"), F.lit(None).cast("int").alias("prio"),
         (_c("t") * 2 + 1).alias("at"), "t", _c("keep").alias("owner")))
-    live = cut_lineage(control.filter(~_c("stored")).unionByName(
-        stored.filter(_c("t") == _c("keep")).drop("keep")))
-
-    own = _pairs(live, "t")
-    everyone = own.select("t", "sig").unionByName(stored_writes.select("t", "sig"))
-    shared = everyone.groupBy("sig").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("sig")
-    active_ids = cut_lineage(own.join(shared, "sig", "left_semi").select("t").distinct())
-    settled = None
+    fresh = control.filter(~_c("stored")).select(*_GUESSED)
+    kept = cut_lineage(stored.filter(_c("t") == _c("keep")).select(*_GUESSED))
+    live = fresh if kept.isEmpty() else fresh.unionByName(kept)
+
+    own = _pairs(live, "t", "stored")
+    everyone = own.select("sig", "t", _c("t").alias("live")).unionByName(
+        stored_writes.select("sig", "t", F.lit(None).cast("bigint").alias("live")))
+    shared = everyone.groupBy("sig").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.min("live").alias("low")).filter("a <> b")
+    earlier = F.when((_c("low") < _c("t")) & ~_c("stored"), _c("prio"))
+    guess = own.join(shared.select("sig", "low"), "sig").groupBy("t").agg(F.min_by("low", earlier).alias("low"))
+    rows = cut_lineage(live.join(guess, "t").withColumn("rec", F.coalesce("low", "t")).drop("low"))
     while True:
-        active = live.join(active_ids, "t", "left_semi")
-        start = None if settled is None else settled.select("t", "rec", "top")
-        settled = _settle(active, stored_writes, start)
+        settled = _settle(rows, stored_writes, repeats)
         # A merged record can carry a signature none of its rows had (title of one, city of the
         # other).  A row outside that has this signature must join in.
-        mixed = settled.select(F.explode("writes").alias("sig")).distinct().join(
-            _pairs(settled, "t").select("sig").distinct(), "sig", "left_anti")
-        reached = own.join(active_ids, "t", "left_anti").join(mixed, "sig", "left_semi").select("t").distinct()
-        reached = cut_lineage(reached)
-        if reached.limit(1).count() == 0:
-            return settled.select("arrival", "t", "rec", "top")
-        settled = cut_lineage(settled.select("t", "rec", "top"))
-        active_ids = cut_lineage(active_ids.unionByName(reached))
+        outside = cut_lineage(own.join(rows.select("t"), "t", "left_anti").select("t", "sig"))
+        written = settled.select(F.explode("writes").alias("sig"))
+        reached = cut_lineage(outside.join(written, "sig", "left_semi").select("t").distinct())
+        if reached.isEmpty():
+            return settled.select("t", "rec", "top")
+        joined = live.join(reached, "t", "left_semi").withColumns({"rec": _c("t"), "top": F.lit(True)})
+        rows = cut_lineage(settled.select(*_GUESSED, "rec", "top").unionByName(joined))
 
 
 def _rank():
@@ -299,61 +351,76 @@ def _rank():
     return F.when(_c("top"), -_c("t") - 1).otherwise(_c("t") + 1)
 
 
-def _assemble(rows):
-    """Merged records from member rows with ``rec`` and ``top``: one combinable aggregate."""
+def _assemble(rows, table, repeats, singles=None):
+    """Merged records from member rows with ``rec``, ``top`` and their facts; ``table`` has the whole rows.
+
+    Which row leads a record and which ones fill its blanks follows from the facts; only those rows, and
+    ``singles``, are then taken from the table, with all their texts.
+    """
+    fields = [*POSTING_SCHEMA.names, "arrival"]
     ranked = rows.withColumn("_rank", _rank())
-    filled = lambda n: F.coalesce(
-        F.min_by(n, F.when(~is_blank(_c(n)), _c("_rank"))), F.min_by(n, "_rank"))
-    first_value = lambda n: F.min_by(n, F.when(_c(n).isNotNull(), _c("_rank")))
-    records = ranked.groupBy("rec").agg(
-        F.min("arrival").alias("arrival"),
-        F.min_by("id", "_rank").alias("id"), F.min_by("source", "_rank").alias("source"),
-        *[filled(n).alias(n) for n in PICKED],
-        F.coalesce(
-            F.min_by("description_sections", F.when(F.size("description_sections") > 0, _c("_rank"))),
-            F.min_by("description_sections", "_rank")).alias("description_sections"),
-        first_value("salary_min").alias("salary_min"), first_value("salary_max").alias("salary_max"),
-        F.min("posted_at").alias("posted_at"), F.max("scraped_at").alias("scraped_at"),
-        F.min("discovered_at").alias("discovered_at"),
-    )
-    for name, values in (
-        ("skills", F.concat(F.coalesce("skills", F.array()), F.coalesce("tags", F.array()))),
-        ("aggregated_sources", F.concat(F.coalesce("aggregated_sources", F.array()), F.array("source"))),
-    ):
-        items = ranked.select("rec", "_rank", F.posexplode_outer(distinct_lower(values)).alias("_pos", "_item"))
-        firsts = items.filter(_c("_item").isNotNull()).groupBy("rec", "_item").agg(F.min(F.struct("_rank", "_pos")).alias("_at"))
-        lists = firsts.groupBy("rec").agg(F.transform(
-            F.sort_array(F.collect_list(F.struct("_at", "_item"))), lambda s: s["_item"]).alias(name))
-        records = records.join(lists, "rec", "left")
-    empty = F.array().cast("array<string>")
-    records = records.withColumns({
-        "skills": F.coalesce("skills", empty), "aggregated_sources": F.coalesce("aggregated_sources", empty),
-    }).withColumn("tags", _c("skills"))
-    return records.withColumn("quality_score", scoring.completeness())
-
-
-def _changes(rows):
-    """Rows that alter their record: take-overs, first fills, new list items, moved dates."""
-    bits = F.lit(0).cast("bigint")
-    tests = [~is_blank(_c(n)) for n in PICKED] + [
-        F.size("description_sections") > 0, _c("salary_min").isNotNull(), _c("salary_max").isNotNull()]
-    for i, test in enumerate(tests):
-        bits = bits.bitwiseOR(F.when(test, 1 << i).otherwise(0).cast("bigint"))
-    lists = F.array_distinct(F.concat(
-        F.transform(distinct_lower(F.concat(F.coalesce("skills", F.array()), F.coalesce("tags", F.array()))),
-                    lambda s: F.concat(F.lit("k:"), s)),
-        F.transform(distinct_lower(F.concat(F.coalesce("aggregated_sources", F.array()), F.array("source"))),
-                    lambda s: F.concat(F.lit("s:"), s))))
-    narrow = rows.select("rec", "arrival", "t", "top", bits.alias("bits"), lists.alias("skills"),
-                         *[F.unix_micros(n).alias(n) for n in ("posted_at", "scraped_at", "discovered_at")])
-    seen = running_before(narrow.join(_new_skills(narrow), "t", "left"), "rec", "t", {
+    heads = cut_lineage(ranked.groupBy("rec").agg(
+        F.min("arrival").alias("_first"), F.min_by("arrival", "_rank").alias("arrival"), F.min_by("bits", "_rank").alias("_own"),
+        F.bit_or("bits").alias("_any"), F.min("posted_at").alias("_posted_at"), F.max("scraped_at").alias("_scraped_at"),
+        F.min("discovered_at").alias("_discovered_at")))
+    need = heads.select("rec", _c("_any").bitwiseAND(F.bitwise_not(_c("_own"))).alias("_need")).filter("_need <> 0")
+    gives = _c("bits").bitwiseAND(_c("_need"))
+    places = F.filter(F.array(*[F.when(gives.bitwiseAND(F.lit(1 << i)) != 0, i) for i in range(len(PICKED) + 3)]), lambda i: i.isNotNull())
+    givers = ranked.select("rec", "arrival", "_rank", "bits").join(need, "rec").filter(gives != 0).select(
+        "rec", "arrival", "_rank", F.explode(places).alias("_place")).groupBy("rec", "_place").agg(
+        F.min_by("arrival", "_rank").alias("arrival"))
+    # One row of ``wanted`` for a leading row, for each field that a row fills, and for a row on its own.
+    wanted = heads.drop("_own", "_any").withColumn("_place", F.lit(-1)).unionByName(givers, allowMissingColumns=True)
+    if singles is not None:
+        wanted = wanted.unionByName(singles.select("arrival", F.lit(-2).alias("_place")), allowMissingColumns=True)
+    picked = cut_lineage(table.select(*fields).join(wanted, "arrival"))
+    lead = picked.filter("_place = -1")
+    if repeats:
+        lead = lead.dropDuplicates(["rec"])
+    at = lambda i: _c("_place") == i
+    n = len(PICKED)
+    text = F.element_at(F.array(*PICKED), F.when(_c("_place") < n, _c("_place") + 1))
+    gift = F.struct("_place", text.alias("text"), F.when(at(n), _c("description_sections")).alias("sections"),
+                    F.when(at(n + 1), _c("salary_min")).when(at(n + 2), _c("salary_max")).alias("pay"))
+    gifts = picked.filter("_place >= 0").groupBy("rec").agg(F.collect_list(gift).alias("_gifts"))
+    items = ranked.select("rec", "_rank", F.posexplode("items").alias("_pos", "_item")).groupBy("rec", "_item").agg(
+        F.min("_rank").alias("_rank"), F.min_by("_pos", "_rank").alias("_pos"))
+    lists = items.groupBy("rec").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("_rank", "_pos", "_item"))), lambda s: s["_item"]).alias("_items"))
+    given = lambda i, kind: F.get(F.filter("_gifts", lambda g: g["_place"] == i), F.lit(0))[kind]
+    filled = {p: F.coalesce(given(i, "text"), _c(p)) for i, p in enumerate(PICKED)}
+    filled |= {"description_sections": F.coalesce(given(n, "sections"), _c("description_sections")),
+               "salary_min": F.coalesce(given(n + 1, "pay"), _c("salary_min")),
+               "salary_max": F.coalesce(given(n + 2, "pay"), _c("salary_max"))}
+    named = lambda mark: F.coalesce(F.transform(
+        F.filter("_items", lambda s: s.startswith(mark)), lambda s: F.substring(s, F.lit(3), F.length(s))),
+        F.array().cast("array<string>"))
+    records = lead.join(gifts, "rec", "left").join(lists, "rec", "left").withColumns({
+        **filled, "arrival": _c("_first"), "skills": named("k:"), "tags": named("k:"), "aggregated_sources": named("s:"),
+        **{m: F.timestamp_micros(f"_{m}") for m in _MOMENTS}})
+    records = records.withColumn("quality_score", scoring.completeness()).select(*fields)
+    return records if singles is None else records.unionByName(picked.filter("_place = -2").select(*fields))
+
+
+def _changes(rows, repeats):
+    """``rows`` with ``changed``: take-overs, first fills, new list items, moved dates alter a record."""
+    narrow = rows.select("rec", "arrival", "t", "top", "source", "stored", "bits", "items", *_MOMENTS)
+    # First items stand among the rows, right before the row that brings them.
+    news = _firsts(narrow, "items").distinct().select("rec", (_c("t") * 2).alias("at"))
+    events = narrow.withColumn("at", _c("t") * 2 + 1).drop("items").unionByName(news, allowMissingColumns=True)
+    if repeats:
+        events = narrow.withColumn("at", _c("t") * 2 + 1).join(_firsts(narrow, "items").distinct().select(
+            "t", (_c("t") * 2).alias("_brought")), "t", "left")
+    seen = running_before(events, "rec", "at", {
         "p_bits": ("bit_or", _c("bits")), "p_posted": ("min", _c("posted_at")),
-        "p_scraped": ("max", _c("scraped_at")), "p_found": ("min", _c("discovered_at"))})
+        "p_scraped": ("max", _c("scraped_at")), "p_found": ("min", _c("discovered_at")),
+        "p_brought": ("last", F.when(_c("t").isNull(), _c("at")))}, hot=crowded(narrow, "rec")).filter(_c("t").isNotNull())
+    brought = _c("_brought") if repeats else _c("p_brought")
     changed = (
-        _c("top") | (_c("bits").bitwiseAND(F.bitwise_not(_c("p_bits"))) != 0) | (F.coalesce("added", F.lit(0)) > 0)
+        _c("top") | (_c("bits").bitwiseAND(F.bitwise_not(_c("p_bits"))) != 0) | F.coalesce(brought == _c("at") - 1, F.lit(False))
         | (_c("posted_at") < _c("p_posted")) | (_c("scraped_at") > _c("p_scraped"))
         | (_c("discovered_at") < _c("p_found")))
-    return seen.filter(_c("rec") != _c("t")).select("arrival", F.coalesce(changed, F.lit(False)).alias("changed"))
+    return seen.withColumn("changed", (_c("rec") != _c("t")) & F.coalesce(changed, F.lit(False)))
 
 
 def merge_postings(incoming, existing=None, materialise=True):
@@ -376,25 +443,31 @@ def merge_postings(incoming, existing=None, materialise=True):
         shift = 0 if span is None or low is None or low > span else span - low + 1
         table = existing.select(*fields, F.lit(True).alias("_stored")).unionByName(
             new.withColumn("arrival", _c("arrival") + shift))
-    decided = cut_lineage(_replay(_control(table)))
+    control, repeats = _numbered(cut_lineage(_control(table)))
+    decided = cut_lineage(_replay(control, repeats))
     sizes = decided.groupBy("rec").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    decided = cut_lineage(decided.join(sizes, "rec", "left"))
-    members = table.join(decided, "arrival", "left")
-    if existing is not None:
-        last = table.filter("_stored").groupBy("id").agg(
-            F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_more")).filter("_more > 1")
-        stale = table.filter("_stored").join(last, "id").filter(_c("arrival") != _c("_keep")).select("arrival")
-        members = members.join(stale, "arrival", "left_anti")
-    grouped = members.filter("_n IS NOT NULL").drop("_n")
+    members = cut_lineage(control.select("arrival", "stored", "source", "t", "bits", "items", *_MOMENTS).join(
+        decided.join(sizes, "rec", "left"), "t", "left"))
+    grouped, alone = members.filter("_n IS NOT NULL").drop("_n"), members.filter("_n IS NULL")
 
     def build():
-        # Several aggregates read the members of merged records; they are brought together once.
-        held = cut_lineage(grouped)
-        return members.filter("_n IS NULL").select(*fields).unionByName(_assemble(held).select(*fields))
-
-    decisions = members.filter(~_c("_stored")).join(_changes(grouped), "arrival", "left").select(
-        "arrival", "source", "rec", "top", F.coalesce(_c("rec") == _c("t"), F.lit(True)).alias("inserted"),
-        F.coalesce("changed", F.lit(False)).alias("updated"))
+        singles = alone.select("arrival").distinct() if repeats else alone.select("arrival")
+        if existing is not None:
+            last = table.filter("_stored").groupBy("id").agg(
+                F.max("arrival").alias("_keep"), F.count(F.lit(1)).alias("_more")).filter("_more > 1")
+            stale = table.filter("_stored").join(last, "id").filter(_c("arrival") != _c("_keep")).select("arrival")
+            singles = singles.join(stale, "arrival", "left_anti")
+        return _assemble(grouped, table, repeats, singles).unionByName(table.filter(_c("arrival").isNull()).select(*fields))
+
+    shown = lambda changed: (
+        "arrival", "source", "rec", "top", F.coalesce(_c("rec") == _c("t"), F.lit(True)).alias("inserted"), changed.alias("updated"))
+    fresh = lambda rows: rows.filter(~_c("stored"))
+    if repeats:
+        changes = _changes(grouped, repeats).filter(_c("rec") != _c("t")).select("arrival", "changed")
+        decisions = fresh(members).join(changes, "arrival", "left").select(*shown(F.coalesce("changed", F.lit(False))))
+    else:
+        decisions = fresh(_changes(grouped, repeats)).select(*shown(_c("changed"))).unionByName(
+            fresh(alone).select(*shown(F.lit(False))))
     return MergeResult(build, decisions, merge_report(decisions))
 
 
@@ -440,6 +513,6 @@ def merge_canonical(postings, strict_ids=False):
     # Precedence: score first, then arrival.
     order = ((F.lit(22) - scoring.completeness()).cast("decimal(3,0)") * F.lit(str(1 << 63)).cast("decimal(20,0)")
              + _c("arrival").cast("decimal(20,0)"))
-    members = postings.join(comp, "arrival", "left").withColumns({
-        "rec": F.coalesce("comp", "arrival"), "t": order, "top": F.lit(False)})
-    return _assemble(members)
+    members = cut_lineage(postings.withColumns(_lists()).select("arrival", order.alias("t"), *_facts()).join(comp, "arrival", "left").withColumns({
+        "rec": F.coalesce("comp", "arrival"), "top": F.lit(False)}))
+    return _assemble(members, postings, _repeats(members))

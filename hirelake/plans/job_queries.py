@@ -1,6 +1,7 @@
 """Queries over whole jobs: normalising, matching, merging, streaming ingest, admission."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import vocab
 from ..operators import admission, merge
@@ -77,15 +78,20 @@ def _postings(df):
     """Fill what a derived view leaves out."""
     moments = {n: F.coalesce(_c(n) if n in df.columns else F.lit(None).cast("timestamp"), as_of())
                for n in ("posted_at", "scraped_at", "discovered_at")}
-    full = conform(df.withColumns(moments), POSTING_SCHEMA).withColumns({
+    full = conform(df.withColumns(moments), T.StructType([*POSTING_SCHEMA.fields, df.schema["arrival"]])).withColumns({
         n: F.coalesce(n, F.lit(v)) for n, v in (
             ("job_type", "unknown"), ("experience_level", "unknown"), ("workplace_type", "unknown"), ("source_type", "scraped"),
             ("description", ""), ("description_html", ""), ("source_website", ""), ("company", ""), ("location", "Remote"))})
     full = full.withColumns({"description_sections": F.coalesce("description_sections", F.array().cast(full.schema["description_sections"].dataType)),
                              **{n: F.coalesce(n, F.array().cast("array<string>")) for n in ("skills", "tags")},
                              "aggregated_sources": F.coalesce("aggregated_sources", F.array("source"))})
-    keep = df.select("arrival", "id").withColumnRenamed("id", "_id")
-    return full.join(keep, _c("id") == _c("_id")).drop("_id")
+    # Rows that share an id go with each of its arrivals; all others keep their own.
+    shared = cut_lineage(df.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND id IS NOT NULL").select("id"))
+    if shared.isEmpty():
+        return full.filter(_c("id").isNotNull())
+    keep = df.join(shared, "id", "left_semi").select("arrival", _c("id").alias("_id"))
+    twice = full.drop("arrival").join(keep, _c("id") == _c("_id")).drop("_id")
+    return full.filter(_c("id").isNotNull()).join(shared, "id", "left_anti").unionByName(twice)
 
 
 def _order_postings(spark, sf_dir):

@@ -133,7 +133,8 @@ def normalize_tags(c):
 
 def distinct_lower(c):
     """Whitespace-normalised, lower-cased items in first-seen order."""
-    cleaned = F.transform(c, lambda t: F.lower(normalize_ws(t)))
+    # Lists joined from two columns often repeat; each text is tidied once.
+    cleaned = F.transform(F.array_distinct(c), lambda t: F.lower(normalize_ws(t)))
     return F.array_distinct(F.filter(cleaned, lambda t: t != ""))
 
 

@@ -10,6 +10,10 @@ _SPLIT = (
 )
 
 
+# What ``canonical_url`` leaves as it is: lower-case scheme and host, a path without a slash at its end, nothing after it.
+_CANONICAL = r"^[a-z][a-z0-9+.\-]*+://[a-z0-9._:\-]++/[!-~&&[^?#;]]*+(?<!/)\z"
+
+
 def split_url(c):
     """struct(scheme, netloc, path, params, query, fragment); parts that are absent are ''."""
     def part(n):
@@ -75,7 +79,8 @@ def canonical_url(c):
         return _join_url(u["scheme"], F.lower(u["netloc"]),
                          F.when(bare == "", u["path"]).otherwise(bare), text_or_empty(kept))
 
-    return F.when(text_or_empty(c) == "", F.lit("")).otherwise(
+    # One plain match is far cheaper than taking an address apart; most stored ones are canonical.
+    return F.when(text_or_empty(c) == "", F.lit("")).when(c.rlike(_CANONICAL), c).otherwise(
         let(split_url(F.trim(c)), build))
 
 

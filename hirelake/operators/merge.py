@@ -47,16 +47,24 @@ _GAINED = (0, 3, 4, 5, 6, 7, 8, 10, 11, 12)
 class MergeResult:
     """Outcome of a merge: the new table, one decision per incoming row, counters per source.
 
-    ``postings`` is put together when it is first asked for: a report alone moves no texts.
+    Each is put together when it is first asked for: a report alone moves no texts, a table alone looks for no changes.
     """
 
-    def __init__(self, build, decisions, report):
-        self._build, self.decisions, self.report = build, decisions, report
+    def __init__(self, build, decide):
+        self._build, self._decide = build, decide
 
     @cached_property
     def postings(self) -> DataFrame:
         return self._build()
 
+    @cached_property
+    def decisions(self) -> DataFrame:
+        return self._decide()
+
+    @cached_property
+    def report(self) -> DataFrame:
+        return merge_report(self.decisions)
+
 
 def with_signatures(postings):
     return postings.withColumn("signatures", scoring.job_signatures())
@@ -184,9 +192,11 @@ def _judge(rows, repeats, hot):
              for n in _SIGNED}
     source = F.when(_c("new_top"), _c("source")).otherwise(F.coalesce(_c("p_source"), _c("source")))
     leaves = scoring.joined_signatures(source, *[after[n] for n in _SIGNED])
-    kept = rows.columns if "top" in rows.columns else [*rows.columns, "top"]
+    # Rows may share a number (repeated arrivals): each has a place of its own from its first round on.
+    first = [] if "top" in rows.columns else ["top"]
+    place = [] if "row" in rows.columns else [F.monotonically_increasing_id().alias("row")]
     # Read several times, so it is written out once.
-    return cut_lineage(seen.select(*kept, "new_top", leaves.alias("leaves")))
+    return cut_lineage(seen.select(*rows.columns, *first, *place, "new_top", leaves.alias("leaves")))
 
 
 def _reads(rows):
@@ -254,34 +264,44 @@ def _followed(rows, others=None):
 def _settle(rows, stored_writes, repeats):
     """Iterate until no guess changes.  There is no cap: the loop ends when the result is exact.
 
-    ``rows`` have a guess of their record, and of ``top`` unless they come for the first time."""
+    ``rows`` have a guess of their record, and of ``top`` unless they come for the first time.  Returns the
+    guesses at rest and the rows' facts with what they have written to the index, linked by ``row``.  Only
+    guesses change in a round, so they are kept apart: no round moves the facts of rows it does not take up.
+    """
     judged = _judge(rows, repeats, crowded(rows, "rec"))
     reads, writes = _reads(judged), _writes(judged, "leaves", "rec")
     named = crowded(reads.select("sig").unionByName(writes.select("sig")).unionByName(stored_writes.select("sig")), "sig")
     hit = _look_up(reads, writes, stored_writes, named)
+    guesses = cut_lineage(judged.select("row", "t", "stored", "rec", "top", "new_top").join(hit, "t", "left").select(
+        "row", "t", "rec", "top", "new_top", F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")).alias("new_rec"),
+        F.lit(False).alias("bent")))
+    guesses = _followed(guesses)
+    touched, guesses, patch = _moved(guesses), _settled(guesses), None
     # ``writes`` are what a row has left in the index, ``owner`` is the record it did so for.
-    everyone = cut_lineage(judged.join(hit, "t", "left").withColumns({
-        "new_rec": F.when(_c("stored"), _c("t")).otherwise(F.coalesce("hit", "t")), "owner": _c("rec"),
-        "bent": F.lit(False)}).drop("hit").withColumnRenamed("leaves", "writes"))
-    everyone = _followed(everyone)
-    touched, base, patch = _moved(everyone), _settled(everyone), None
+    facts = judged.drop("top", "new_top").withColumnsRenamed({"rec": "owner", "leaves": "writes"})
+    newest = lambda base: base if patch is None else base.join(
+        patch.select("t"), "t", "left_anti").unionByName(patch.select(base.columns))
     while True:
-        current = base if patch is None else base.join(patch.select("t"), "t", "left_anti").unionByName(patch)
-        bent = current.filter("bent").select("t")
+        known, held = newest(guesses), newest(facts)
+        bent = known.filter("bent").select("t")
         if touched.isEmpty() and bent.isEmpty():
-            return current
-        judged = _judge(current.join(touched, "rec", "left_semi"), repeats, crowded(current, "rec"))
+            return known, held
+        # Written out, so that Spark knows when they are few and leaves the facts where they are.
+        taken = cut_lineage(known.join(touched, "rec", "left_semi").drop("t"))
+        judged = _judge(held.join(taken, "row"), repeats, crowded(known, "rec"))
         both = _writes(judged, "writes", "owner").unionByName(_writes(judged, "leaves", "rec"))
         changed = both.groupBy("sig", "t", "owner").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("sig").distinct()
-        concerned = _reads(current).join(changed, "sig", "left_semi").select("t").unionByName(bent).distinct()
-        reads = cut_lineage(_reads(current).join(concerned, "t", "left_semi"))
+        concerned = _reads(held).join(changed, "sig", "left_semi").select("t").unionByName(bent).distinct()
+        reads = cut_lineage(_reads(held).join(concerned, "t", "left_semi"))
         readers = reads.select("t").distinct()
         renewed = judged.withColumns({"writes": _c("leaves"), "owner": _c("rec")}).drop("leaves")
-        rest = current.join(judged.select("t"), "t", "left_anti")
+        done = judged.select("t")
+        rest = known.join(done, "t", "left_anti")
         names = reads.select("sig").distinct()
-        writes = _writes(rest, "writes", "owner").unionByName(_writes(renewed, "writes", "owner"))
+        writes = _writes(held.join(done, "t", "left_anti"), "writes", "owner").unionByName(_writes(renewed, "writes", "owner"))
         hit = _look_up(reads, writes.join(names, "sig", "left_semi"), stored_writes.join(names, "sig", "left_semi"), named)
-        again = renewed.unionByName(rest.join(readers, "t", "left_semi").withColumn("new_top", _c("top")))
+        waiting = cut_lineage(rest.join(readers, "t", "left_semi").withColumn("new_top", _c("top")).drop("t"))
+        again = renewed.unionByName(held.join(waiting, "row"))
         again = again.join(readers.withColumn("_reads", F.lit(True)), "t", "left").join(hit, "t", "left")
         again = cut_lineage(again.withColumn("new_rec", F.when(
             _c("_reads"), F.coalesce("hit", "t")).otherwise(_c("rec"))).drop("_reads", "hit"))
@@ -334,16 +354,16 @@ def _replay(control, repeats):
     guess = own.join(shared.select("sig", "low"), "sig").groupBy("t").agg(F.min_by("low", earlier).alias("low"))
     rows = cut_lineage(live.join(guess, "t").withColumn("rec", F.coalesce("low", "t")).drop("low"))
     while True:
-        settled = _settle(rows, stored_writes, repeats)
+        settled, facts = _settle(rows, stored_writes, repeats)
         # A merged record can carry a signature none of its rows had (title of one, city of the
         # other).  A row outside that has this signature must join in.
         outside = cut_lineage(own.join(rows.select("t"), "t", "left_anti").select("t", "sig"))
-        written = settled.select(F.explode("writes").alias("sig"))
+        written = facts.select(F.explode("writes").alias("sig"))
         reached = cut_lineage(outside.join(written, "sig", "left_semi").select("t").distinct())
         if reached.isEmpty():
             return settled.select("t", "rec", "top")
         joined = live.join(reached, "t", "left_semi").withColumns({"rec": _c("t"), "top": F.lit(True)})
-        rows = cut_lineage(settled.select(*_GUESSED, "rec", "top").unionByName(joined))
+        rows = cut_lineage(facts.join(settled.drop("t"), "row").select(*_GUESSED, "rec", "top").unionByName(joined))
 
 
 def _rank():
@@ -462,13 +482,15 @@ def merge_postings(incoming, existing=None, materialise=True):
     shown = lambda changed: (
         "arrival", "source", "rec", "top", F.coalesce(_c("rec") == _c("t"), F.lit(True)).alias("inserted"), changed.alias("updated"))
     fresh = lambda rows: rows.filter(~_c("stored"))
-    if repeats:
-        changes = _changes(grouped, repeats).filter(_c("rec") != _c("t")).select("arrival", "changed")
-        decisions = fresh(members).join(changes, "arrival", "left").select(*shown(F.coalesce("changed", F.lit(False))))
-    else:
-        decisions = fresh(_changes(grouped, repeats)).select(*shown(_c("changed"))).unionByName(
+
+    def decide():
+        if repeats:
+            changes = _changes(grouped, repeats).filter(_c("rec") != _c("t")).select("arrival", "changed")
+            return fresh(members).join(changes, "arrival", "left").select(*shown(F.coalesce("changed", F.lit(False))))
+        return fresh(_changes(grouped, repeats)).select(*shown(_c("changed"))).unionByName(
             fresh(alone).select(*shown(F.lit(False))))
-    return MergeResult(build, decisions, merge_report(decisions))
+
+    return MergeResult(build, decide)
 
 
 def merge_report(decisions):

@@ -144,7 +144,7 @@ SELECT source, count(*) AS collected, count(*) FILTER (n = 1) AS inserted, count
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey), before AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 GROUP BY source""")
 def merge_report(spark, sf_dir):
-    return merge.merge_postings(_order_postings(spark, sf_dir)).report
+    return merge.merge_postings(_order_postings(spark, sf_dir), materialise=False).report
 
 
 @query("merge_canonical", f"""
@@ -180,13 +180,13 @@ def _merged(postings):
 @query("merge_sequential", _SEQUENTIAL)
 def merge_sequential(spark, sf_dir):
     """The records that a merge row by row leaves."""
-    return _merged(merge.merge_postings(_order_postings(spark, sf_dir)).postings)
+    return _merged(merge.merge_postings(_order_postings(spark, sf_dir), materialise=False).postings)
 
 
 @query("table_increments", _SEQUENTIAL)
 def table_increments(spark, sf_dir):
     """The same records, merged into a table by three batches of falling size."""
-    postings, root = cut_lineage(_order_postings(spark, sf_dir)), scratch_path(spark, "table")
+    postings, root = _order_postings(spark, sf_dir), scratch_path(spark, "table")
     top = postings.agg(F.max("arrival")).first()[0] or 0
     bounds = [0, top * 6 // 10, top * 99 // 100, top]
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from sequential_model import replay
 from test_merge import compare, make_posting, to_df
 
+from hirelake.functions import urls
+from hirelake.functions.text import distinct_lower
 from hirelake.operators import merge, running
 from hirelake.plans import job_queries
 
@@ -64,3 +66,58 @@ def test_input_is_not_joined_with_itself(spark, tmp_path):
         orders.limit(1).withColumn("o_orderkey", F.lit(None).cast("bigint"))).write.parquet(f"{tmp_path}/b/orders.parquet")
     got = job_queries._order_postings(spark, f"{tmp_path}/b").groupBy("arrival").count().collect()
     assert {r["arrival"]: r["count"] for r in got} == {k: 4 if k < 2 else 1 for k in range(30)}
+
+
+def _orders(spark, path, n=60):
+    spark.range(n).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 6).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        F.lit("2024-01-01").cast("timestamp").alias("o_orderdate")).write.parquet(f"{path}/orders.parquet")
+
+
+def _spied(monkeypatch, module, column, written):
+    write = module.cut_lineage
+
+    def spy(df):
+        out = write(df)
+        if column in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "cut_lineage", spy)
+
+
+def test_rows_that_come_from_a_table_are_not_copied_whole(spark, tmp_path, monkeypatch):
+    _orders(spark, tmp_path)
+    written = []
+    _spied(monkeypatch, merge, "description_html", written)
+    _spied(monkeypatch, job_queries, "description_html", written)
+    assert job_queries.merge_sequential(spark, str(tmp_path)).count() == 6
+    assert sum(written) <= 12
+
+
+def test_facts_are_written_once_and_no_changes_are_looked_for(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [make_posting(rng, i, ids=5, urls=5, titles=5) for i in range(80)]
+    for r in rows:
+        r["title"], r["company"] = "Role", "Acme"
+    written = []
+    _spied(monkeypatch, merge, "signatures", written)
+    monkeypatch.setattr(merge, "_changes", lambda *a: 1 / 0)
+    done = merge.merge_postings(to_df(spark, rows), materialise=False)
+    assert 0 < done.postings.count() < 80
+    # The control columns, the rows with their first guess, and the same judged.
+    assert written.count(80) == 3
+
+
+def test_plain_addresses_and_repeated_items_are_left_as_the_long_way_leaves_them(spark, monkeypatch):
+    odd = ["https://c.example/1", "https://c.example/a/b-c_d~", "https://c.example/", "https://c.example", "https://c.example/a//", "https://C.example/a",
+           "HTTPS://c.example/a", "https://c.example/a;b=1", "https://c.example/a;b/c", "https://c.example/a?jobid=1", "https://c.example/a#x", " https://c.example/a ",
+           "https://c.example/a b", "https://c.example/a\n", "https://u@c.example:80/a", "https://c.example//a", "//c.example/a", "mailto:a/b", "c.example/a", "", None,
+           "https://c.exämple/a", "https://c.example/ä", "https:///a", "https://c.example/a%20b&c=d"]
+    df = spark.createDataFrame([(u,) for u in odd], "u string")
+    quick = [r[0] for r in df.select(urls.canonical_url(F.col("u"))).collect()]
+    matched = df.filter(F.col("u").rlike(urls._CANONICAL)).count()
+    monkeypatch.setattr(urls, "_CANONICAL", "(?!)")
+    assert quick == [r[0] for r in df.select(urls.canonical_url(F.col("u"))).collect()] and matched == 4
+    lists = spark.sql("SELECT array('A', ' a', null, 'b  c', 'A', '', 'B c', ' ') AS s")
+    assert lists.select(distinct_lower(F.col("s"))).first()[0] == ["a", "b c"]

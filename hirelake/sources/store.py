@@ -101,7 +101,7 @@ def write_postings(postings, root, name):
     """
     spark = postings.sparkSession
     ranked = with_rank(postings.orderBy(*store_sort_keys()), "_rank")
-    out = cut_lineage(ranked.select(*POSTING_SCHEMA.names, _c("_rank").alias("arrival")))
+    out = ranked.select(*POSTING_SCHEMA.names, _c("_rank").alias("arrival"))
     rows = out.count()
     ranged = out.withColumn("range", F.expr(f"CAST((arrival - 1) DIV {BUCKET_ROWS} AS INT)"))
     ranged.repartition("source", "range").sortWithinPartitions("source", "range", "arrival").write.mode(

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,3 +45,26 @@ def test_huge_components_and_empty(spark):
     got = [(r.query_id, r.vec_id) for r in topk_search.top_k(df, F.col("vec_id") == 0, 2).orderBy("rank").collect()]
     assert [v for _, v in got] == [1, 2]
     assert topk_search.top_k(df.limit(0), F.col("vec_id") == 0).collect() == []
+
+
+def test_pairs_of_blocks_are_not_moved(spark, monkeypatch):
+    """More pairs of blocks than blocks: nothing of them is broadcast, shuffled or sorted."""
+    monkeypatch.setattr(topk_search, "BLOCK", 8)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCKS", 3)
+    monkeypatch.setattr(topk_search, "TOGETHER", 1)
+    plans = []
+
+    def kept(df, *rest, store=topk_search.stored):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, *rest)
+
+    monkeypatch.setattr(topk_search, "stored", kept)
+    rnd = random.Random(1)
+    rows = [(i, [rnd.gauss(0, 0.2) for _ in range(4)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = topk_search.top_k(df, F.col("vec_id") % 4 == 0)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert {tuple(r) for r in found.collect()} == brute(rows, lambda i: i % 4 == 0, 5)
+    assert any("CartesianProduct" in p for p in plans)
+    assert not any("vectors" in line and re.search("Exchange|Sort|Broadcast", line) for p in plans for line in p.splitlines())

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import byte_lengths, give_back, join_side, portions, small_batches, stored
+from .common import byte_lengths, give_back, join_side, let_go, planned_by_rows, portions, small_batches, stored
 
 WORDS = 5
 PERCENT = 75
@@ -339,6 +339,7 @@ def near_links(docs, reps, kind):
         links = found if links is None else links.unionByName(found)
         tested = pairs if tested is None else tested.unionByName(pairs)
         roots = stored(components(links))
+        let_go(docs.sparkSession)
         if every:
             break
     return roots
@@ -348,7 +349,7 @@ def near_duplicates(docs):
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    small_batches(docs.sparkSession)
+    planned_by_rows(small_batches(docs.sparkSession))
     rows = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()),
@@ -368,6 +369,7 @@ def near_duplicates(docs):
     changed = stored(changed.filter("copies > 1 OR root <> rep").select("digest", F.col("root").alias("class_root")))
     out = join_side(made.select("doc_id", "n", "digest"), changed, "digest", changed.count(), ["doc_id"])
     component = F.coalesce("class_root", "doc_id")
+    let_go(docs.sparkSession)
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 

@@ -128,3 +128,13 @@ def test_keep_first_judges_rows(spark):
     kept = m.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = [(1, one), (2, two), (3, three), (None, four), (None, None), (4, "")]
     assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
+def test_joins_are_planned_by_rows_in_memory(spark):
+    """Links compress to a few bytes a row; a broadcast of them, which the driver holds, takes many times that."""
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(6)], "doc_id long, text string")
+    assert sorted(r.component_id for r in m.near_duplicates(docs).collect()) == [0, 0, 2, 2, 4, 4]
+    nodes = 50_000
+    links = m.stored(spark.range(nodes).selectExpr("id AS node", "id DIV 4 * 4 AS root"))
+    assert int(str(links._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 24 * nodes
